@@ -35,13 +35,17 @@ def iso_utc(c: str | Column) -> Column:
     return F.coalesce(F.concat(whole, fraction, F.lit("+00:00")), F.lit(""))
 
 
-def epoch_seconds(c: str | Column) -> Column:
-    """Seconds since the epoch as a double, microseconds kept; input is naive UTC."""
-    return F.unix_micros(col(c).cast("timestamp")) / F.lit(1e6)
+def micros_between(earlier: str | Column, later: str | Column) -> Column:
+    """Whole microseconds; both stamps are zone-free, so no session zone plays a part."""
+    return F.timestamp_diff("MICROSECOND", col(earlier).cast("timestamp_ntz"), col(later).cast("timestamp_ntz"))
+
+
+def seconds_between(earlier: str | Column, later: str | Column) -> Column:
+    return micros_between(earlier, later) / F.lit(1e6)
 
 
 def minutes_between(earlier: str | Column, later: str | Column) -> Column:
-    return (epoch_seconds(later) - epoch_seconds(earlier)) / F.lit(60.0)
+    return micros_between(earlier, later) / F.lit(6e7)
 
 
 def days_before(now: Column, days: str | int | Column) -> Column:

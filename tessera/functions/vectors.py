@@ -7,12 +7,13 @@ squared Euclidean (``l2``, the default), ``cosine`` (1 - cosine) and ``dot``
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 METRICS = ("l2", "cosine", "dot")
 
@@ -94,12 +95,32 @@ def vector_dim(df: DataFrame, column: str) -> int | None:
 def mean_vectors(df: DataFrame, group: str, column: str) -> DataFrame:
     """Mean vector per group, as ``(group, mean array<double>)``.
 
-    Positions are summed inside map-side partial aggregates, so a group that
-    holds a third of the rows sends one partial row per task and position.
+    Each Arrow batch is summed per group before anything is shuffled, so a group
+    that holds a third of the rows sends one short row per batch.
     """
+    partial = T.StructType([df.schema[group], T.StructField("n", T.LongType()),
+                            T.StructField("total", T.ArrayType(T.DoubleType()))])
+    arrow = to_arrow_schema(partial)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0).dictionary_encode()
+            rows, _ = matrix_of(batch.column(1), len(batch.column(1)[0]))
+            at = ids.indices.to_numpy()
+            totals = np.zeros((len(ids.dictionary), rows.shape[1]))
+            np.add.at(totals, at, rows)
+            yield pa.RecordBatch.from_arrays(
+                [ids.dictionary.cast(arrow.field(0).type), pa.array(np.bincount(at, minlength=len(totals))),
+                 pa.array(list(totals), type=arrow.field(2).type)], schema=arrow)
+
+    present = df.where(F.col(group).isNotNull() & F.col(column).isNotNull())
+    per_batch = present.select(group, column).mapInArrow(sums, partial)
+    # one entry per vector position
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "m")))
     return (
-        df.select(group, F.posexplode(column).alias("pos", "x"))
-        .groupBy(group, "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
-        .groupBy(group).agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("ms"))
-        .select(group, F.transform("ms", lambda s: s["m"]).alias("mean"))
+        per_batch.select(group, "n", F.posexplode("total").alias("pos", "x"))
+        .groupBy(group, "pos").agg((F.sum("x") / F.sum("n")).alias("m"))
+        .groupBy(group).agg(F.transform(ordered, lambda s: s["m"]).alias("mean"))
     )

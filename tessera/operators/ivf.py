@@ -4,9 +4,11 @@ Layout below one index path::
 
     centroids/                           part_id, centroid
     codebooks/                           sub, code, codeword          (IVF_PQ only)
-    postings/gen=G/delta_id=D/part_id=P/ key, version, vector or code
+    postings/gen=G/delta_id=D/part_id=P/ key, row_version, vector, code (IVF_PQ only)
     meta/                                one small row per committed change
 
+IVF_PQ keeps the vector beside the code: a search reads the code column alone,
+and re-ranking reads vectors from the probed partitions instead of the table.
 ``meta`` is appended only after the files it speaks of are complete, and the
 newest row wins, so a lost executor or driver leaves the last good state.
 """
@@ -206,6 +208,8 @@ class IvfIndex:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self._model: tuple[list[int], np.ndarray] | None = None
+        self._books: list[np.ndarray] | None = None
 
     # state
 
@@ -229,8 +233,19 @@ class IvfIndex:
     def codebooks(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/codebooks")
 
-    def postings(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/postings/gen={self.meta().gen}")
+    def model(self) -> tuple[list[int], np.ndarray]:
+        """Partition ids and centroids on the driver; read once, they never change."""
+        if self._model is None:
+            self._model = local_matrix(self.centroids(), "part_id", "centroid")
+        return self._model
+
+    def books(self) -> list[np.ndarray]:
+        if self._books is None:
+            self._books = local_codebooks(self.codebooks())
+        return self._books
+
+    def postings(self, meta: IndexMeta | None = None) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/postings/gen={(meta or self.meta()).gen}")
 
     # writing
 
@@ -262,7 +277,7 @@ class IvfIndex:
         if centroids is None:
             centroids = train_centroids(training, column, num_partitions, seed)
         centroids.coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
-        part_ids, matrix = local_matrix(index.centroids(), "part_id", "centroid")
+        part_ids, matrix = index.model()
         dim = matrix.shape[1]
         if index_type == "IVF_PQ":
             if codebooks is None:
@@ -278,27 +293,29 @@ class IvfIndex:
         return index
 
     def _write_delta(self, df: DataFrame, meta: IndexMeta, delta_id: int) -> int:
-        """Write one delta; return the newest version it covers.
-
-        Range partitioning on (partition, key) cuts a partition that holds a large
-        share of all rows over several tasks and keeps files few elsewhere.
-        """
+        """Write one delta; return the newest version it covers."""
         if VERSION not in df.columns:
             df = df.withColumn(VERSION, F.lit(0).cast("long"))
         covered = df.agg(F.max(VERSION)).first()[0]
-        part_ids, matrix = local_matrix(self.centroids(), "part_id", "centroid")
+        part_ids, matrix = self.model()
         rows = assign_partitions(df.select(meta.key_name, VERSION, meta.column_name), meta.column_name,
                                  part_ids, matrix)
         if meta.index_type == "IVF_PQ":
-            books = local_codebooks(self.codebooks())
-            codes = encode(residual(meta.column_name, "part_id", part_ids, matrix), books)
-            rows = rows.withColumn("code", codes).drop(meta.column_name)
-        (rows.withColumnRenamed(VERSION, "row_version")
-             .repartitionByRange("part_id", meta.key_name)
-             .write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("part_id")
-             .parquet(f"{self.path}/postings/gen={meta.gen}/delta_id={delta_id}"))
+            rows = rows.withColumn("code", encode(residual(meta.column_name, "part_id", part_ids, matrix), self.books()))
+        self._write_postings(rows.withColumnRenamed(VERSION, "row_version"), meta.gen, delta_id)
         return covered if covered is not None else meta.covered_version
 
+    def _write_postings(self, rows: DataFrame, gen: int, delta_id: int) -> None:
+        """Write postings by partition id.
+
+        Rebalancing gathers small partitions into few files and, from the shuffle
+        sizes seen at run time, cuts one that holds a large share of all rows over
+        several tasks; no sampling pass over the vectors is needed.
+        """
+        (rows.hint("rebalance", F.col("part_id"))
+             .write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("part_id")
+             .parquet(f"{self.path}/postings/gen={gen}/delta_id={delta_id}"))
+
     def optimize(self, df: DataFrame) -> int:
         """Index rows newer than the covered version as one delta; return rows added.
 
@@ -318,10 +335,7 @@ class IvfIndex:
         """Fold all deltas into one generation; return the number folded."""
         meta = self.meta()
         if meta.delta_count:
-            (self.postings().drop("delta_id")
-                 .repartitionByRange("part_id", meta.key_name)
-                 .write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("part_id")
-                 .parquet(f"{self.path}/postings/gen={meta.gen + 1}/delta_id=0"))
+            self._write_postings(self.postings(meta).drop("delta_id"), meta.gen + 1, 0)
             self._commit(replace(meta, meta_id=meta.meta_id + 1, gen=meta.gen + 1, delta_count=0))
         return meta.delta_count
 
@@ -329,7 +343,7 @@ class IvfIndex:
 
     def probes(self, vectors: np.ndarray, nprobes: int) -> np.ndarray:
         """Ids of the ``nprobes`` closest partitions per query, closest first."""
-        part_ids, matrix = local_matrix(self.centroids(), "part_id", "centroid")
+        part_ids, matrix = self.model()
         out = []
         for v in vectors:
             order = np.lexsort((part_ids, row_distance(matrix, v, "l2")))
@@ -343,12 +357,12 @@ class IvfIndex:
         Only probed partitions are read (a literal filter on the partition column).
         """
         meta = self.meta()
-        postings = self.postings()
+        postings = self.postings(meta)
         flat = meta.index_type == "IVF_FLAT"
         value = meta.column_name if flat else "code"
-        part_ids, matrix = local_matrix(self.centroids(), "part_id", "centroid")
+        part_ids, matrix = self.model()
         row_of = dict(zip(part_ids, range(len(part_ids))))
-        books = None if flat else local_codebooks(self.codebooks())
+        books = None if flat else self.books()
 
         def run(block: QueryBlock) -> DataFrame:
             probed = self.probes(block.matrix, nprobes)
@@ -381,16 +395,16 @@ class IvfIndex:
             pruned = postings.where(F.col("part_id").isin(sorted(by_part)))
             return scan_topk(pruned, meta.key_name, ["part_id", value], block, qid, k, meta.metric, feed)
 
-        return per_block(queries, qid, qvec, postings.schema[meta.key_name], run)
+        return per_block(queries, qid, qvec, postings.schema[meta.key_name], k, run)
 
     def search(self, vector: Sequence[float], k: int = K_DEFAULT, nprobes: int = 1,
                refine_factor: int | None = None, table: DataFrame | None = None,
                include_unindexed: bool = True) -> DataFrame:
         """Search for one vector; ``(key, _distance)`` in ascending distance.
 
-        ``refine_factor`` re-ranks ``refine_factor * k`` candidates by exact distance
-        on ``table``. Rows of ``table`` newer than the covered version are not in the
-        index yet and are scanned flat, so an append is visible at once.
+        ``refine_factor`` re-ranks ``refine_factor * k`` candidates by exact distance.
+        Rows of ``table`` newer than the covered version are not in the index yet and
+        are scanned flat, so an append is visible at once.
         """
         spark, meta = self.spark, self.meta()
         check_k(k)
@@ -399,10 +413,10 @@ class IvfIndex:
         want = k * (refine_factor or 1)
         hits = self.search_join(query, "_q", "_v", want, nprobes).select(meta.key_name, DISTANCE)
         if refine_factor is not None:
-            if table is None:
-                raise ValueError("refine_factor needs the table that holds the vectors")
+            probed = [int(p) for p in self.probes(np.asarray([vector], dtype=np.float64), nprobes)[0]]
+            postings = self.postings(meta).where(F.col("part_id").isin(probed))
             # the hit list has at most refine_factor * k rows
-            candidates = table.join(F.broadcast(hits.select(meta.key_name)), meta.key_name, "left_semi")
+            candidates = postings.join(F.broadcast(hits.select(meta.key_name)), meta.key_name, "left_semi")
             hits = nearest(candidates, vector, meta.column_name, meta.key_name, k, meta.metric).select(
                 meta.key_name, DISTANCE)
         if include_unindexed and table is not None and VERSION in table.columns:

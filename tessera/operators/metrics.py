@@ -6,8 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tessera.functions.scalars import epoch_seconds, ratio
-from tessera.operators.windows import with_previous
+from tessera.functions.scalars import ratio, seconds_between
+from tessera.operators.windows import hour_of, with_previous
 
 # Upper bounds of the latency buckets, in seconds
 LATENCY_BUCKETS = (0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0, 120.0, 300.0, 600.0)
@@ -97,7 +97,7 @@ def worker_load(workers: DataFrame, tasks: DataFrame) -> DataFrame:
 
 def stale_workers(workers: DataFrame, now: Column, timeout_s: float = HEARTBEAT_TIMEOUT_S) -> DataFrame:
     """Workers not yet DEAD whose heartbeat is older than the timeout."""
-    age = epoch_seconds(now) - epoch_seconds("last_heartbeat_at")
+    age = seconds_between("last_heartbeat_at", now)
     return workers.where((F.col("status") != "DEAD") & (age > timeout_s))
 
 
@@ -127,16 +127,16 @@ def latest_event(events: DataFrame, key: str = "task_uuid") -> DataFrame:
 
 def state_durations(events: DataFrame) -> DataFrame:
     """Seconds between successive events of a task, with the state it left."""
-    rows = with_previous(events, ["task_uuid"], ["created_at", "event_id"], F.to_date("created_at"),
+    rows = with_previous(events, ["task_uuid"], ["created_at", "event_id"], hour_of("created_at"),
                          ["created_at", "to_status"])
     return rows.where(F.col("previous").isNotNull()).select(
         "task_uuid", "event_id", F.col("previous.to_status").alias("from_status"), "to_status",
-        (epoch_seconds("created_at") - epoch_seconds("previous.created_at")).alias("seconds"))
+        seconds_between("previous.created_at", "created_at").alias("seconds"))
 
 
 def stalls(events: DataFrame, key: str, minutes: float = STALL_MINUTES) -> DataFrame:
     """Gaps longer than ``minutes`` between successive passes of a worker."""
-    rows = with_previous(events, [key], ["created_at", "event_id"], F.to_date("created_at"), ["created_at"])
-    gap = (epoch_seconds("created_at") - epoch_seconds("previous.created_at")) / 60.0
+    rows = with_previous(events, [key], ["created_at", "event_id"], hour_of("created_at"), ["created_at"])
+    gap = seconds_between("previous.created_at", "created_at")
     return rows.select(key, F.col("previous.created_at").alias("last_seen"), "created_at",
-                       gap.alias("gap_minutes")).where(F.col("gap_minutes") > minutes)
+                       gap.alias("gap_seconds")).where(F.col("gap_seconds") > 60 * minutes)

@@ -167,13 +167,16 @@ class QueryBlock:
         self.matrix = np.asarray(vectors, dtype=np.float64)
 
 
-def query_blocks(queries: DataFrame, qid: str, qvec: str) -> Iterator[QueryBlock]:
-    """Bring the query set to the driver one size-checked block at a time."""
+def query_blocks(queries: DataFrame, qid: str, qvec: str, k: int) -> Iterator[QueryBlock]:
+    """Bring the query set to the driver one size-checked block at a time.
+
+    A query costs a task its vector plus ``k`` keys and distances.
+    """
     frame = queries.select(qid, qvec).where(F.col(qvec).isNotNull())
     size = frame.agg(F.count(F.lit(1)), F.max(F.size(qvec))).first()
     if not size[0]:
         return
-    n_blocks = max(1, math.ceil(size[0] * size[1] * 8 / QUERY_BLOCK_BYTES))
+    n_blocks = max(1, math.ceil(size[0] * (size[1] + 2 * k) * 8 / QUERY_BLOCK_BYTES))
     id_type = queries.schema[qid].dataType
     block_of = F.pmod(F.xxhash64(qid), F.lit(n_blocks))
     for b in range(n_blocks):
@@ -213,11 +216,11 @@ def scan_topk(table: DataFrame, key: str, columns: Sequence[str], block: QueryBl
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def per_block(queries: DataFrame, qid: str, qvec: str, key_field: T.StructField,
+def per_block(queries: DataFrame, qid: str, qvec: str, key_field: T.StructField, k: int,
               run: Callable[[QueryBlock], DataFrame]) -> DataFrame:
     """Apply ``run`` to each query block; several blocks are written out one by one."""
     spark = queries.sparkSession
-    blocks = query_blocks(queries, qid, qvec)
+    blocks = query_blocks(queries, qid, qvec, k)
     first = next(blocks, None)
     if first is None:
         schema = T.StructType([queries.schema[qid], key_field, T.StructField(DISTANCE, T.DoubleType()),
@@ -227,8 +230,8 @@ def per_block(queries: DataFrame, qid: str, qvec: str, key_field: T.StructField,
     if second is None:
         return run(first)
     path = work_path(spark, "knn")
-    for block in [first, second]:
-        run(block).write.mode("append").parquet(path)
+    run(first).write.mode("append").parquet(path)
+    run(second).write.mode("append").parquet(path)
     for block in blocks:
         run(block).write.mode("append").parquet(path)
     return spark.read.parquet(path)
@@ -252,7 +255,7 @@ def knn_join(queries: DataFrame, qid: str, qvec: str, table: DataFrame, key: str
 
         return scan_topk(table, key, [column], block, qid, k, metric, feed)
 
-    return per_block(queries, qid, qvec, table.schema[key], run)
+    return per_block(queries, qid, qvec, table.schema[key], k, run)
 
 
 def search_many(queries: DataFrame, qid: str, qvec: str, table: DataFrame, key: str, column: str,

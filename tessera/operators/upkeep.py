@@ -106,9 +106,9 @@ def compact(spark: SparkSession, path: str, partition_col: str, key: str,
             threshold: Mapping[str, object], deleted: str | None = None) -> CompactionReport:
     """Merge small files up to ``target_rows_per_fragment`` rows.
 
-    Only partitions that hold more files than their rows need are rewritten. Rows
-    spread over ceil(rows / target) slots by the hash of ``key``, so a partition with
-    a third of the table is written by many tasks. With ``materialize_deletions``
+    Only partitions that hold more files than their rows need are rewritten. Each
+    gets ceil(rows / target) tasks of its own and spreads its rows over them by the
+    hash of ``key``, so a partition with a third of the table is no hot spot. With ``materialize_deletions``
     the rows matching ``deleted`` are left out.
     """
     known, ignored = split_threshold(threshold)
@@ -125,10 +125,14 @@ def compact(spark: SparkSession, path: str, partition_col: str, key: str,
     rows = table.where(F.col(partition_col).isin(list(slots)))
     if drop:
         rows = rows.where(keep_unless(deleted))
-    slot_count = F.create_map(*[x for p, n in slots.items() for x in (F.lit(p), F.lit(int(n)))])[F.col(partition_col)]
-    slot = F.pmod(F.xxhash64(key), slot_count)
-    shaped = rows.withColumn("_slot", slot).repartitionByRange(
-        sum(slots.values()), partition_col, "_slot").drop("_slot")
+    # first task and number of tasks per partition value, one entry per partition
+    entries, first = [], 0
+    for value, n in slots.items():
+        entries += [F.lit(value), F.struct(F.lit(first).alias("first"), F.lit(int(n)).alias("n"))]
+        first += int(n)
+    place = F.create_map(*entries)[F.col(partition_col)]
+    target_task = place["first"] + F.pmod(F.xxhash64(key), place["n"]).cast("int")
+    shaped = rows.repartitionById(first, target_task)
     written = replace_partitions(shaped, path, partition_col, list(slots))
     after = file_frame(spark.read.parquet(path).where(F.col(partition_col).isin(list(slots))))
     return CompactionReport(sum(r["files"] for r in due), after.count(), written, ignored)

@@ -7,6 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+def hour_of(column: str) -> Column:
+    """Step that cuts a long trail into pieces of their own."""
+    return F.date_trunc("hour", F.col(column))
+
+
 def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column,
                   columns: Sequence[str], name: str = "previous") -> DataFrame:
     """Add ``name``, a struct of ``columns`` of the row before, per ``keys`` in ``order``.

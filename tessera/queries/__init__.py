@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-AREAS = ("tables", "filters", "joins", "aggregates", "vectors", "indexes", "embedding", "upkeep", "catalog", "streams")
+AREAS = ("tables", "scalars", "filters", "joins", "aggregates", "vectors", "indexes", "embedding", "upkeep", "catalog", "streams")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -31,7 +31,7 @@ def planner_tick_summary(spark, sf):
     done = given(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("policy_id"))
     existing = live.join(done, "policy_id").select(F.concat(
         "dataset_tenant", F.lit(":lifecycle:"), "policy_id", F.lit(":COMPACTION:20240131")).alias("idempotency_key"))
-    return lc.plan_summary(policies, datasets, lc.policy_tasks(policies, datasets, ts(CLOCK)), existing)
+    return lc.plan_summary(policies, lc.policy_tasks(policies, datasets, ts(CLOCK)), existing)
 
 
 DECIDED = control_cte("index_ctl", "dataset_ctl", "policy_ctl", first_policy="""
@@ -165,17 +165,17 @@ def latest_event_per_task(spark, sf):
 @query("task_state_durations", control_cte("task_event_ctl", w="""
   SELECT *, lag(to_status) OVER o AS from_status, lag(created_at) OVER o AS before FROM task_event_ctl
   WINDOW o AS (PARTITION BY task_uuid ORDER BY created_at, event_id)""") + """
-SELECT task_uuid, event_id, from_status, to_status, round(epoch_us(created_at - before) / 1000000.0, 3) AS seconds
+SELECT task_uuid, event_id, from_status, to_status, round(epoch_us(created_at - before) / 1000000.0, 6) AS seconds
 FROM w WHERE before IS NOT NULL""")
 def task_state_durations(spark, sf):
-    return mt.state_durations(control_frame(spark, sf, "task_event_ctl")).withColumn("seconds", F.round("seconds", 3))
+    return mt.state_durations(control_frame(spark, sf, "task_event_ctl")).withColumn("seconds", F.round("seconds", 6))
 
 
 @query("worker_stalls", control_cte("task_event_ctl", w="""
   SELECT *, lag(created_at) OVER (PARTITION BY worker_id ORDER BY created_at, event_id) AS last_seen
   FROM task_event_ctl""") + """
-SELECT worker_id, last_seen, created_at, round(epoch_us(created_at - last_seen) / 60000000.0, 3) AS gap_minutes
-FROM w WHERE epoch_us(created_at - last_seen) / 60000000.0 > 5""")
+SELECT worker_id, last_seen, created_at, round(epoch_us(created_at - last_seen) / 1000000.0, 6) AS gap_seconds
+FROM w WHERE epoch_us(created_at - last_seen) > 300000000""")
 def worker_stalls(spark, sf):
     return mt.stalls(control_frame(spark, sf, "task_event_ctl"), "worker_id").withColumn(
-        "gap_minutes", F.round("gap_minutes", 3))
+        "gap_seconds", F.round("gap_seconds", 6))

@@ -9,6 +9,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+from tessera.sources.paths import delete_path
+
 # Settings every session of this library wants. Shuffle partitions stay at the
 # cluster's own value; AQE coalesces or splits them from run-time sizes.
 BASE_CONF = {
@@ -21,6 +23,7 @@ BASE_CONF = {
 }
 
 _LOCAL_WORK_ROOT: str | None = None
+_WORK_PATHS: list[str] = []
 
 
 def build_session(app_name: str = "tessera", **conf: str) -> SparkSession:
@@ -73,4 +76,12 @@ def work_root(spark: SparkSession) -> str:
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path below :func:`work_root`; never reused between calls."""
-    return f"{work_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{work_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _WORK_PATHS.append(path)
+    return path
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Drop the working tables this process wrote, once no result reads them any more."""
+    while _WORK_PATHS:
+        delete_path(spark, _WORK_PATHS.pop())

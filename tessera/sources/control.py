@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import TimestampType
 
 CLOCK = "2024-01-31 00:00:00"
 
@@ -82,7 +83,9 @@ def source_tables(name: str) -> list[str]:
 
 def control_frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in source_tables(name)}
-    return spark.sql(CONTROL_SQL[name], **tables)
+    frame = spark.sql(CONTROL_SQL[name], **tables)
+    zoned = [f.name for f in frame.schema if isinstance(f.dataType, TimestampType)]
+    return frame.withColumns({c: F.col(c).cast("timestamp_ntz") for c in zoned})
 
 
 def control_cte(*names: str, **more: str) -> str:
