@@ -23,17 +23,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.functions.vectors import matrix_of, row_distance
 from tessera.operators.search import (DISTANCE, K_DEFAULT, QueryBlock, TopK, check_dimension, check_k,
                                       nearest, per_block, scan_topk)
-from tessera.sources.paths import path_exists
+from tessera.sources.paths import delete_path, partition_values, path_exists
 from tessera.sources.tables import VERSION
 
 # Centroids and codebooks are copied to every task; their size is checked against this.
 MODEL_BYTES = 256 << 20
+MODEL_ROWS = 1 << 16
 META_SCHEMA = ("meta_id long, gen long, delta_count long, covered_version long, index_name string, "
                "column_name string, key_name string, index_type string, metric string, dim int, params string")
 
@@ -66,13 +67,21 @@ def train_centroids(df: DataFrame, column: str, num_partitions: int, seed: int =
     return df.sparkSession.createDataFrame(rows, "part_id int, centroid array<double>")
 
 
+def bounded_rows(frame: DataFrame) -> list[Row]:
+    """A small table on the driver; more than MODEL_ROWS rows are refused, not fetched."""
+    rows = frame.limit(MODEL_ROWS + 1).collect()
+    if len(rows) > MODEL_ROWS:
+        raise ValueError(f"a model has at most {MODEL_ROWS} vectors; use fewer partitions")
+    return rows
+
+
 def local_matrix(frame: DataFrame, id_col: str, vec_col: str) -> tuple[list, np.ndarray]:
-    """A model table on the driver, after a check of its size; ordered by id."""
-    n, dim = frame.agg(F.count(F.lit(1)), F.max(F.size(vec_col))).first()
-    if n * (dim or 0) * 8 > MODEL_BYTES:
-        raise ValueError(f"model of {n} x {dim} doubles exceeds {MODEL_BYTES} bytes; use fewer partitions")
-    rows = frame.select(id_col, vec_col).orderBy(id_col).collect()
-    return [r[0] for r in rows], np.asarray([r[1] for r in rows], dtype=np.float64)
+    """A model table on the driver, in order of its ids, with its size checked."""
+    rows = sorted(bounded_rows(frame.select(id_col, vec_col)), key=lambda r: r[0])
+    matrix = np.asarray([r[1] for r in rows], dtype=np.float64)
+    if matrix.nbytes > MODEL_BYTES:
+        raise ValueError(f"model of {matrix.nbytes} bytes exceeds {MODEL_BYTES}; use fewer partitions")
+    return [r[0] for r in rows], matrix
 
 
 def nearest_row(rows: np.ndarray, models: np.ndarray) -> np.ndarray:
@@ -177,11 +186,8 @@ def slice_sums(column: str, books: list[np.ndarray], arrow: pa.Schema):
 
 def local_codebooks(frame: DataFrame) -> list[np.ndarray]:
     """Codebooks on the driver, one matrix per slice, rows in code order."""
-    n, width = frame.agg(F.count(F.lit(1)), F.max(F.size("codeword"))).first()
-    if n * (width or 0) * 8 > MODEL_BYTES:
-        raise ValueError("codebooks exceed the size that is copied to tasks")
     books: dict[int, list] = {}
-    for r in frame.orderBy("sub", "code").collect():
+    for r in sorted(bounded_rows(frame.select("sub", "code", "codeword")), key=lambda r: (r["sub"], r["code"])):
         books.setdefault(r["sub"], []).append(r["codeword"])
     return [np.asarray(books[s], dtype=np.float64) for s in sorted(books)]
 
@@ -276,16 +282,22 @@ class IvfIndex:
             training = training.sample(train_fraction, seed)
         if centroids is None:
             centroids = train_centroids(training, column, num_partitions, seed)
-        centroids.coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
-        part_ids, matrix = index.model()
+        part_ids, matrix = index._model = local_matrix(centroids, "part_id", "centroid")
         dim = matrix.shape[1]
+        index.spark.createDataFrame([(int(p), c.tolist()) for p, c in zip(part_ids, matrix)],
+                                    "part_id int, centroid array<double>").coalesce(1).write.mode(
+            "overwrite").parquet(f"{path}/centroids")
         if index_type == "IVF_PQ":
             if codebooks is None:
                 check_sub_vectors(dim, num_sub_vectors or 0)
                 assigned = assign_partitions(training, column, part_ids, matrix)
                 left = assigned.select(residual(column, "part_id", part_ids, matrix).alias("residual"))
                 codebooks = train_codebooks(left, "residual", dim, num_sub_vectors, codes)
-            codebooks.coalesce(1).write.mode("overwrite").parquet(f"{path}/codebooks")
+            index._books = local_codebooks(codebooks)
+            index.spark.createDataFrame(
+                [(m, c, w.tolist()) for m, book in enumerate(index._books) for c, w in enumerate(book)],
+                "sub int, code int, codeword array<double>").coalesce(1).write.mode(
+                "overwrite").parquet(f"{path}/codebooks")
         params = json.dumps({"num_partitions": len(part_ids), "num_sub_vectors": num_sub_vectors}, sort_keys=True)
         meta = IndexMeta(meta_id, gen, 0, 0, index_name, column, key, index_type, metric, dim, params)
         covered = index._write_delta(df, meta, 0)
@@ -339,6 +351,14 @@ class IvfIndex:
             self._commit(replace(meta, meta_id=meta.meta_id + 1, gen=meta.gen + 1, delta_count=0))
         return meta.delta_count
 
+    def drop_old_generations(self) -> int:
+        """Remove postings of replaced generations, once no search reads them; return how many."""
+        current = self.meta().gen
+        old = [g for g in partition_values(self.spark, f"{self.path}/postings", "gen") if int(g) < current]
+        for gen in old:
+            delete_path(self.spark, f"{self.path}/postings/gen={gen}")
+        return len(old)
+
     # reading
 
     def probes(self, vectors: np.ndarray, nprobes: int) -> np.ndarray:
@@ -356,7 +376,10 @@ class IvfIndex:
 
         Only probed partitions are read (a literal filter on the partition column).
         """
-        meta = self.meta()
+        return self._search_join(self.meta(), queries, qid, qvec, k, nprobes)
+
+    def _search_join(self, meta: IndexMeta, queries: DataFrame, qid: str, qvec: str, k: int,
+                     nprobes: int) -> DataFrame:
         postings = self.postings(meta)
         flat = meta.index_type == "IVF_FLAT"
         value = meta.column_name if flat else "code"
@@ -411,7 +434,7 @@ class IvfIndex:
         check_dimension(vector, meta.column_name, meta.dim)
         query = spark.createDataFrame([(0, [float(x) for x in vector])], "_q int, _v array<double>")
         want = k * (refine_factor or 1)
-        hits = self.search_join(query, "_q", "_v", want, nprobes).select(meta.key_name, DISTANCE)
+        hits = self._search_join(meta, query, "_q", "_v", want, nprobes).select(meta.key_name, DISTANCE)
         if refine_factor is not None:
             probed = [int(p) for p in self.probes(np.asarray([vector], dtype=np.float64), nprobes)[0]]
             postings = self.postings(meta).where(F.col("part_id").isin(probed))

@@ -2,66 +2,99 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Fixed values of the ranking
 K1, B = 1.2, 0.75
-TOKEN = "[a-z0-9]+"
+# Tokens are runs of these characters in the lower-cased text.
+NOT_TOKEN = "[^a-z0-9]+"
 # Query terms become a literal list; a longer query is refused.
 MAX_TERMS = 1000
+BUCKETS = 64
 
 
-def tokens(column: str):
-    return F.regexp_extract_all(F.lower(F.col(column)), F.lit(TOKEN), F.lit(0))
+def token_counts(batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
+    """Distinct tokens of each row of (key, text) with their count and the row's token total."""
+    words = pc.split_pattern_regex(pc.utf8_lower(batch.column(1)), NOT_TOKEN)
+    row, token = pc.list_parent_indices(words), words.flatten()
+    real = pc.not_equal(token, "")
+    pairs = pa.table({"row": row.filter(real), "token": token.filter(real)})
+    length = np.bincount(pairs["row"].to_numpy(), minlength=batch.num_rows)
+    counted = pairs.group_by(["row", "token"], use_threads=False).aggregate([([], "count_all")])
+    at = counted["row"].combine_chunks()
+    columns = [counted["token"].combine_chunks(), batch.column(0).take(at), counted["count_all"].combine_chunks(),
+               pa.array(length[at.to_numpy()])]
+    return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
 def build_postings(df: DataFrame, key: str, column: str) -> DataFrame:
-    """``(token, key, tf, dl)``; the document length rides along, so ranking needs no join.
+    """``(token, key, tf, dl)``, one row per token and document.
 
-    A row's tokens are counted before the shuffle, and (token, key) spreads a word
-    found in every document over all tasks.
+    A document is one row, so its tokens are counted inside the batch and no
+    shuffle is needed; the document length rides along, so ranking needs no join.
     """
-    words = df.select(key, tokens(column).alias("_tokens"))
-    return (
-        words.select(key, F.size("_tokens").alias("dl"), F.explode("_tokens").alias("token"))
-        .groupBy("token", key).agg(F.count(F.lit(1)).alias("tf"), F.max("dl").cast("long").alias("dl"))
-    )
+    schema = T.StructType([T.StructField("token", T.StringType()), T.StructField(key, df.schema[key].dataType),
+                           T.StructField("tf", T.LongType()), T.StructField("dl", T.LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield token_counts(batch, arrow)
+
+    return df.where(F.col(column).isNotNull()).select(key, column).mapInArrow(tally, schema)
 
 
 def token_stats(postings: DataFrame) -> DataFrame:
     return postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
+def bucket_of(token: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
+
+
 class TextIndex:
-    """Postings sorted by token, and one row of corpus totals, below ``path``."""
+    """Postings in hash buckets of their token, and one row of corpus totals, below ``path``."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
     @classmethod
-    def build(cls, df: DataFrame, path: str, *, key: str, column: str) -> TextIndex:
-        """Range partitions on (token, key) keep a token's rows together, cut hot tokens
-        over several files and let min/max statistics skip the other files."""
-        build_postings(df, key, column).repartitionByRange("token", key).sortWithinPartitions(
-            "token", key).write.mode("overwrite").parquet(f"{path}/postings")
-        lengths = df.select(F.size(tokens(column)).alias("dl"))
-        lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("dl").alias("total_len")).coalesce(
-            1).write.mode("overwrite").parquet(f"{path}/corpus")
-        return cls(df.sparkSession, path)
+    def build(cls, df: DataFrame, path: str, *, key: str, column: str, buckets: int = BUCKETS) -> TextIndex:
+        """One shuffle by bucket; rebalancing cuts the bucket of a very common word over
+        several tasks from the sizes seen at run time. Rows are sorted by token, so
+        row-group statistics narrow a lookup further."""
+        index = cls(df.sparkSession, path)
+        rows = build_postings(df, key, column).withColumn("bucket", bucket_of(F.col("token"), buckets))
+        (rows.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "token", key)
+             .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
+        # one row per part: documents, then tokens
+        size = df.agg(F.count(F.lit(1)).alias("n_docs"), F.lit(0).cast("long").alias("total_len"))
+        length = index.postings().agg(F.lit(0).cast("long").alias("n_docs"), F.sum("tf").alias("total_len"))
+        (size.unionByName(length).agg(F.sum("n_docs").alias("n_docs"), F.sum("total_len").alias("total_len"))
+             .withColumn("buckets", F.lit(buckets)).coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus"))
+        return index
 
     def postings(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/postings")
 
     def search(self, terms: Sequence[str], key: str, k: int = 10) -> DataFrame:
-        """Best ``k`` rows for the query terms: ``(key, score)``."""
+        """Best ``k`` rows for the query terms: ``(key, score)``; only their buckets are read."""
         wanted = sorted(set(t.lower() for t in terms))
-        if len(wanted) > MAX_TERMS:
-            raise ValueError(f"at most {MAX_TERMS} query terms, got {len(wanted)}")
-        n_docs, total_len = self.spark.read.parquet(f"{self.path}/corpus").first()
-        avg_len = total_len / max(n_docs, 1)
-        hits = self.postings().where(F.col("token").isin(wanted))
+        if not 0 < len(wanted) <= MAX_TERMS:
+            raise ValueError(f"from 1 to {MAX_TERMS} query terms, got {len(wanted)}")
+        n_docs, total_len, buckets = self.spark.read.parquet(f"{self.path}/corpus").first()
+        avg_len = (total_len or 0) / max(n_docs, 1)
+        # the bucket of a literal folds to a constant, so this prunes directories
+        in_bucket = reduce(lambda a, b: a | b, [F.col("bucket") == bucket_of(F.lit(t), buckets) for t in wanted])
+        hits = self.postings().where(in_bucket & F.col("token").isin(wanted))
         # one row per query term, at most MAX_TERMS
         df_of = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
         idf = F.log(1.0 + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))

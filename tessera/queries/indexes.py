@@ -34,19 +34,12 @@ def flat_index(spark, sf, table=None, **options):
         column="embedding", index_name="idx_embedding", centroids=rule_centroids(spark, sf), **options)
 
 
-def versioned_table(spark, sf):
-    """Embeddings stored as two versions: labels 0-6 first, 7-9 appended later."""
+def appended_index(spark, sf, files=(1, 1)):
+    """An index over version 1 (labels 0-6) of a table that then gets version 2 (labels 7-9)."""
     path, rows = work_path(spark, "vectors"), given(spark, sf, "embeddings")
-    tb.write_append(rows.where("label < 7"), path, version=1)
-    first = spark.read.parquet(path)
-    return path, first, rows.where("label >= 7")
-
-
-def appended_index(spark, sf):
-    """An index over version 1 while the table already holds version 2."""
-    path, first, later = versioned_table(spark, sf)
-    index = flat_index(spark, sf, first)
-    tb.write_append(later, path, version=2)
+    tb.write_append(rows.where("label < 7").repartition(files[0], "vec_id"), path, version=1)
+    index = flat_index(spark, sf, spark.read.parquet(path))
+    tb.write_append(rows.where("label >= 7").repartition(files[1], "vec_id"), path, version=2)
     return index, spark.read.parquet(path)
 
 
@@ -118,11 +111,11 @@ def index_merge(spark, sf):
 
 @query("index_live_stats", f"""
 SELECT CAST(2 AS INT) AS latest_version, count(*) FILTER ({VERSION_OF} = 1) AS num_indexed_rows,
-  count(*) FILTER ({VERSION_OF} = 2) AS num_unindexed_rows FROM embeddings""")
+  count(*) FILTER ({VERSION_OF} = 2) AS num_unindexed_rows, 3::BIGINT AS num_indexed_fragments,
+  2::BIGINT AS num_unindexed_fragments FROM embeddings""")
 def index_live_stats(spark, sf):
-    index, table = appended_index(spark, sf)
-    # file counts depend on how many tasks wrote, so only the row counts are compared
-    return index.live_stats(table).select("latest_version", "num_indexed_rows", "num_unindexed_rows")
+    index, table = appended_index(spark, sf, files=(3, 2))
+    return index.live_stats(table)
 
 
 @query("index_coverage", f"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -24,6 +25,7 @@ BASE_CONF = {
 
 _LOCAL_WORK_ROOT: str | None = None
 _WORK_PATHS: list[str] = []
+_SHIPPED_TO: set[str] = set()
 
 
 def build_session(app_name: str = "tessera", **conf: str) -> SparkSession:
@@ -31,7 +33,27 @@ def build_session(app_name: str = "tessera", **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     for key, value in {**BASE_CONF, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Batch functions are pickled by reference, so every worker must be able to import it.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED_TO:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(package):  # already inside a shipped archive otherwise
+        folder = tempfile.mkdtemp(prefix="tessera-package-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        archive = shutil.make_archive(os.path.join(folder, "tessera"), "zip", os.path.dirname(package),
+                                      os.path.basename(package))
+        spark.sparkContext.addPyFile(archive)
+    _SHIPPED_TO.add(app)
 
 
 def storage_conf(
