@@ -10,16 +10,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tessera.functions.scalars import ratio
 from tessera.operators.ivf import IvfIndex
 from tessera.operators.metrics import FINISHED
-from tessera.plans.lifecycle import TASK_MOVES
 from tessera.session import work_path
 from tessera.sources.tables import VERSION, merge_into, merge_rows, table_exists, write_overwrite
+from tessera.streaming.trail import TRAIL, TaskTrail
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 WATERMARK = "10 minutes"
@@ -165,38 +163,6 @@ def stall_alerts(events: DataFrame, gap: str = "5 minutes", delay: str = WATERMA
 
 # --- task state ------------------------------------------------------------------------------
 
-TRAIL = T.StructType([
-    T.StructField("task_uuid", T.StringType()),
-    T.StructField("event_id", T.LongType()),
-    T.StructField("from_status", T.StringType()),
-    T.StructField("to_status", T.StringType()),
-    T.StructField("legal", T.BooleanType()),
-])
-
-
-class TaskTrail(StatefulProcessor):
-    """Keeps the last state per task and judges each move against the allowed ones."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "status string")
-
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
-        trail = pd.concat(list(rows)).sort_values(["created_at", "event_id"])
-        before = self.last.get()[0] if self.last.exists() else None
-        sources = [before, *trail["to_status"].iloc[:-1]]
-        self.last.update((trail["to_status"].iloc[-1],))
-        yield pd.DataFrame({
-            "task_uuid": key[0],
-            "event_id": trail["event_id"].to_numpy(),
-            "from_status": pd.Series(sources, dtype=object).to_numpy(),
-            "to_status": trail["to_status"].to_numpy(),
-            "legal": [s is None or t in TASK_MOVES[s] for s, t in zip(sources, trail["to_status"])],
-        })
-
-    def close(self) -> None:
-        pass
-
-
 def task_trail(events: DataFrame) -> DataFrame:
     """Every event with the state before it and whether that move is allowed.
 
