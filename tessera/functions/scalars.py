@@ -35,17 +35,16 @@ def iso_utc(c: str | Column) -> Column:
     return F.coalesce(F.concat(whole, fraction, F.lit("+00:00")), F.lit(""))
 
 
-def micros_between(earlier: str | Column, later: str | Column) -> Column:
-    """Whole microseconds; both stamps are zone-free, so no session zone plays a part."""
-    return F.timestamp_diff("MICROSECOND", col(earlier).cast("timestamp_ntz"), col(later).cast("timestamp_ntz"))
-
-
 def seconds_between(earlier: str | Column, later: str | Column) -> Column:
-    return micros_between(earlier, later) / F.lit(1e6)
+    """Seconds with microseconds; both stamps are zone-free, so no session zone plays a part."""
+    span = col(later).cast("timestamp_ntz") - col(earlier).cast("timestamp_ntz")
+    part = lambda field: F.extract(F.lit(field), span)
+    minutes = (part("DAY").cast("long") * 24 + part("HOUR")) * 60 + part("MINUTE")
+    return (minutes.cast("decimal(18,0)") * 60 + part("SECOND")).cast("double")
 
 
 def minutes_between(earlier: str | Column, later: str | Column) -> Column:
-    return micros_between(earlier, later) / F.lit(6e7)
+    return seconds_between(earlier, later) / F.lit(60.0)
 
 
 def days_before(now: Column, days: str | int | Column) -> Column:

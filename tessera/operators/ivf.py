@@ -28,7 +28,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.functions.vectors import matrix_of, row_distance
 from tessera.operators.search import (DISTANCE, K_DEFAULT, QueryBlock, TopK, check_dimension, check_k,
-                                      nearest, per_block, scan_topk)
+                                      nearest, per_block, scan_topk, short_list)
 from tessera.sources.paths import delete_path, partition_values, path_exists
 from tessera.sources.tables import VERSION
 
@@ -433,13 +433,15 @@ class IvfIndex:
         check_k(k)
         check_dimension(vector, meta.column_name, meta.dim)
         query = spark.createDataFrame([(0, [float(x) for x in vector])], "_q int, _v array<double>")
+        if refine_factor is not None and refine_factor < 1:
+            raise ValueError(f"refine_factor must be at least 1, got {refine_factor}")
         want = k * (refine_factor or 1)
         hits = self._search_join(meta, query, "_q", "_v", want, nprobes).select(meta.key_name, DISTANCE)
         if refine_factor is not None:
             probed = [int(p) for p in self.probes(np.asarray([vector], dtype=np.float64), nprobes)[0]]
             postings = self.postings(meta).where(F.col("part_id").isin(probed))
-            # the hit list has at most refine_factor * k rows
-            candidates = postings.join(F.broadcast(hits.select(meta.key_name)), meta.key_name, "left_semi")
+            listed = short_list(hits.select(meta.key_name), want)
+            candidates = postings.join(listed, meta.key_name, "left_semi")
             hits = nearest(candidates, vector, meta.column_name, meta.key_name, k, meta.metric).select(
                 meta.key_name, DISTANCE)
         if include_unindexed and table is not None and VERSION in table.columns:

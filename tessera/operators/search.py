@@ -21,6 +21,8 @@ DISTANCE = "_distance"
 QUERY_BLOCK_BYTES = 64 << 20
 # Cells of one distance matrix inside a task (doubles).
 MATRIX_CELLS = 2 << 20
+# A hit list of up to this many rows (key and distance) is sent to every task of a join.
+HIT_ROWS = 1 << 20
 
 
 class ColumnNotFound(ValueError):
@@ -260,11 +262,19 @@ def knn_join(queries: DataFrame, qid: str, qvec: str, table: DataFrame, key: str
 
 def search_many(queries: DataFrame, qid: str, qvec: str, table: DataFrame, key: str, column: str,
                 select: Sequence[str], k: int = K_DEFAULT, metric: str = "l2") -> DataFrame:
-    """kNN join with result columns: the short hit list joins the table afterwards."""
+    """kNN join with result columns: the hit list, at most k rows per query, fetches them afterwards.
+
+    A short list travels to the table, so the table is read but not shuffled.
+    """
     require_columns(table, select)
     hits = knn_join(queries, qid, qvec, table, key, column, k, metric)
     extra = [c for c in select if c != key]
-    return hits.join(table.select(key, *extra), key)
+    return short_list(hits, queries.count() * k).join(table.select(key, *extra), key)
+
+
+def short_list(hits: DataFrame, at_most: int) -> DataFrame:
+    """Mark a hit list for broadcast if it can hold no more than HIT_ROWS rows."""
+    return F.broadcast(hits) if at_most <= HIT_ROWS else hits
 
 
 def query_vector(df: DataFrame, key: str, value, column: str) -> list[float]:

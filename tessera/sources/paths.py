@@ -17,6 +17,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(jvm_path)
 
 
+def make_path(spark: SparkSession, path: str) -> None:
+    fs, jvm_path = _fs_and_path(spark, path)
+    fs.mkdirs(jvm_path)
+
+
 def delete_path(spark: SparkSession, path: str) -> bool:
     """Remove one directory tree; a missing path is not an error."""
     fs, jvm_path = _fs_and_path(spark, path)

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
-from tessera.sources.paths import delete_path, partition_values, path_exists
+from tessera.sources.paths import delete_path, make_path, partition_values
 
 VERSION = "ingest_version"
 
@@ -114,8 +114,15 @@ def merge_rows(old: DataFrame, new: DataFrame, key: str, order_by: str | None =
 
 def merge_into(spark: SparkSession, path: str, new: DataFrame, key: str, partition_col: str,
                order_by: str | None = None) -> int:
-    """Upsert into a partitioned table, rewriting only partitions that hold or gain a key."""
-    table = spark.read.parquet(path)
+    """Upsert into a partitioned table, rewriting only partitions that hold or gain a key.
+
+    A table without data files yet has the schema of ``new``.
+    """
+    if not partition_values(spark, path, partition_col):
+        make_path(spark, path)
+        table = spark.read.schema(new.schema).parquet(path)
+    else:
+        table = spark.read.parquet(path)
     holding = table.join(new.select(key), key, "left_semi").select(partition_col)
     touched = [r[0] for r in holding.union(new.select(partition_col)).distinct().collect()]
     old = table.where(F.col(partition_col).isin(touched))
@@ -152,7 +159,3 @@ def keep_unless(predicate: str | Column) -> Column:
     """Rows that survive a delete; a NULL predicate keeps its row."""
     condition = F.expr(predicate) if isinstance(predicate, str) else predicate
     return ~F.coalesce(condition, F.lit(False))
-
-
-def table_exists(spark: SparkSession, path: str) -> bool:
-    return path_exists(spark, path)

@@ -16,7 +16,7 @@ from tessera.functions.scalars import ratio
 from tessera.operators.ivf import IvfIndex
 from tessera.operators.metrics import FINISHED
 from tessera.session import work_path
-from tessera.sources.tables import VERSION, merge_into, merge_rows, table_exists, write_overwrite
+from tessera.sources.tables import VERSION, merge_into, write_overwrite
 from tessera.streaming.trail import TRAIL, TaskTrail
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -100,13 +100,8 @@ def upsert_batches(stream: DataFrame, path: str, *, key: str, checksum: str, ord
     once = with_event_time(stream, event_time, delay).dropDuplicatesWithinWatermark([checksum])
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         rows = batch.withColumn(event_time, zone_free(event_time))
-        if not table_exists(spark, f"{path}/rows"):
-            write_overwrite(merge_rows(rows.limit(0), rows, key, order_by), f"{path}/rows",
-                            partition_by=(partition_col,))
-            return
-        merge_into(spark, f"{path}/rows", rows, key, partition_col, order_by)
+        merge_into(batch.sparkSession, f"{path}/rows", rows, key, partition_col, order_by)
 
     run_batches(once, path, each)
 
