@@ -29,6 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tessera.functions.vectors import matrix_of, row_distance
 from tessera.operators.search import (DISTANCE, K_DEFAULT, QueryBlock, TopK, check_dimension, check_k,
                                       nearest, per_block, scan_topk, short_list)
+from tessera.session import work_path
 from tessera.sources.paths import delete_path, partition_values, path_exists
 from tessera.sources.tables import VERSION
 
@@ -277,9 +278,12 @@ class IvfIndex:
             raise ValueError(f"vector index type must be IVF_FLAT or IVF_PQ, got {index_type!r}")
         if index_type == "IVF_PQ" and metric != "l2":
             raise ValueError("IVF_PQ codes keep squared Euclidean distance only")
-        training = df.select(key, column)
+        training = df.where(F.col(column).isNotNull()).select(column)
         if train_fraction < 1.0:
-            training = training.sample(train_fraction, seed)
+            # written once: every pass of the training would otherwise read the whole table
+            chosen = work_path(df.sparkSession, "ivf-training")
+            training.sample(train_fraction, seed).write.parquet(chosen)
+            training = df.sparkSession.read.parquet(chosen)
         if centroids is None:
             centroids = train_centroids(training, column, num_partitions, seed)
         part_ids, matrix = index._model = local_matrix(centroids, "part_id", "centroid")

@@ -32,10 +32,12 @@ class SortedIndex:
         return index
 
     def _file_ranges(self) -> DataFrame:
-        rows = self.spark.read.parquet(f"{self.path}/rows")
-        return rows.groupBy(F.col("_metadata.file_path").alias("file_path")).agg(
+        return self.rows().groupBy(F.col("_metadata.file_path").alias("file_path")).agg(
             F.min(self.column).alias("low"), F.max(self.column).alias("high"), F.count(F.lit(1)).alias("n"))
 
+    def rows(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/rows")
+
     def files(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/files")
 
@@ -43,7 +45,7 @@ class SortedIndex:
         """Rows with ``low <= column <= high``; only files whose range overlaps are opened."""
         overlapping = self.files().where((F.col("high") >= low) & (F.col("low") <= high))
         paths = [r[0] for r in overlapping.select("file_path").collect()]
-        base = self.spark.read.parquet(f"{self.path}/rows")
+        base = self.rows()
         rows = self.spark.read.schema(base.schema).parquet(*paths) if paths else base.where(F.lit(False))
         return rows.where(F.col(self.column).between(low, high))
 

@@ -115,6 +115,29 @@ def test_hot_partition_keeps_every_row(spark, path):
     assert [r["id"] for r in got[:600]] == [i for i in range(900) if i % 3]
 
 
+def test_rebalancing_cuts_a_hot_partition_over_several_files(spark, path):
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64KB")
+    try:
+        rng = np.random.default_rng(4)
+        data = rng.standard_normal((6000, 8)).astype("float32")
+        data[:4000] += 50  # two thirds of the rows share one centroid
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "id long, vec array<float>").repartition(8)
+        centroids = spark.createDataFrame([(0, [50.0] * 8), (1, [0.5] * 8), (2, [-0.5] * 8)], "part_id int, centroid array<double>")
+        index = build(df, path, centroids=centroids)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = index.postings().groupBy("part_id").agg(F.countDistinct(F.col("_metadata.file_path")).alias("n"), F.count(F.lit(1)).alias("rows"))
+    got = {r["part_id"]: (r["n"], r["rows"]) for r in files.collect()}
+    assert got[0][1] == 4000 and got[0][0] > 1
+    assert sum(rows for _, rows in got.values()) == 6000
+
+
+def test_training_on_a_share_still_indexes_every_row(spark, path):
+    df = rows_of(spark, 500)
+    index = build(df, path, index_type="IVF_PQ", num_sub_vectors=2, codes=8, train_fraction=0.3)
+    assert index.postings().select("id").distinct().count() == 500
+
+
 def test_checks(spark, path):
     df = rows_of(spark, 60)
     with pytest.raises(ValueError, match="divide"):
