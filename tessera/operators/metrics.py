@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions.scalars import ratio, seconds_between
-from tessera.operators.windows import hour_of, with_previous
+from tessera.operators.windows import HOT_ROWS, hour_of, with_previous
 
 # Upper bounds of the latency buckets, in seconds
 LATENCY_BUCKETS = (0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0, 120.0, 300.0, 600.0)
@@ -125,18 +125,19 @@ def latest_event(events: DataFrame, key: str = "task_uuid") -> DataFrame:
     return events.groupBy(key).agg(newest.alias("_row")).select("_row.*")
 
 
-def state_durations(events: DataFrame) -> DataFrame:
+def state_durations(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Seconds between successive events of a task, with the state it left."""
     rows = with_previous(events, ["task_uuid"], ["created_at", "event_id"], hour_of("created_at"),
-                         ["created_at", "to_status"])
+                         ["created_at", "to_status"], at_least=hot_rows)
     return rows.where(F.col("previous").isNotNull()).select(
         "task_uuid", "event_id", F.col("previous.to_status").alias("from_status"), "to_status",
         seconds_between("previous.created_at", "created_at").alias("seconds"))
 
 
-def stalls(events: DataFrame, key: str, minutes: float = STALL_MINUTES) -> DataFrame:
+def stalls(events: DataFrame, key: str, minutes: float = STALL_MINUTES, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Gaps longer than ``minutes`` between successive passes of a worker."""
-    rows = with_previous(events, [key], ["created_at", "event_id"], hour_of("created_at"), ["created_at"])
+    rows = with_previous(events, [key], ["created_at", "event_id"], hour_of("created_at"), ["created_at"],
+                         at_least=hot_rows)
     gap = seconds_between("previous.created_at", "created_at")
     return rows.select(key, F.col("previous.created_at").alias("last_seen"), "created_at",
                        gap.alias("gap_seconds")).where(F.col("gap_seconds") > 60 * minutes)

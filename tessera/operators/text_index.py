@@ -14,23 +14,40 @@ from pyspark.sql.pandas.types import to_arrow_schema
 # Fixed values of the ranking
 K1, B = 1.2, 0.75
 # Tokens are runs of these characters in the lower-cased text.
-NOT_TOKEN = "[^a-z0-9]+"
+TOKEN_CHARACTERS = b"abcdefghijklmnopqrstuvwxyz0123456789"
 # Query terms become a literal list; a longer query is refused.
 MAX_TERMS = 1000
 BUCKETS = 64
 
 
+IS_TOKEN = np.isin(np.arange(256), np.frombuffer(TOKEN_CHARACTERS, np.uint8))
+
+
+def split_tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Row number and text of every token, from the bytes of the whole batch at once."""
+    lower = pc.utf8_lower(texts)
+    _, offsets, data = lower.buffers()
+    ends = np.frombuffer(offsets, np.int32)[lower.offset:lower.offset + len(lower) + 1]
+    text = np.frombuffer(data or b"", np.uint8)[ends[0]:ends[-1]]
+    ends = ends - ends[0]
+    inside = IS_TOKEN[text]
+    before = np.r_[False, inside[:-1]][:len(inside)]
+    before[ends[ends < len(text)]] = False  # a row starts a token of its own
+    starts = np.flatnonzero(inside & ~before)
+    places = np.r_[np.cumsum(inside)[starts] - 1, inside.sum()].astype(np.int32)
+    tokens = pa.StringArray.from_buffers(len(starts), pa.py_buffer(places), pa.py_buffer(text[inside]))
+    return np.searchsorted(ends, starts, side="right") - 1, tokens
+
+
 def token_counts(batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
     """Distinct tokens of each row of (key, text) with their count and the row's token total."""
-    words = pc.split_pattern_regex(pc.utf8_lower(batch.column(1)), NOT_TOKEN)
-    row, token = pc.list_parent_indices(words), words.flatten()
-    real = pc.not_equal(token, "")
-    pairs = pa.table({"row": row.filter(real), "token": token.filter(real)})
-    length = np.bincount(pairs["row"].to_numpy(), minlength=batch.num_rows)
-    counted = pairs.group_by(["row", "token"], use_threads=False).aggregate([([], "count_all")])
-    at = counted["row"].combine_chunks()
-    columns = [counted["token"].combine_chunks(), batch.column(0).take(at), counted["count_all"].combine_chunks(),
-               pa.array(length[at.to_numpy()])]
+    row, tokens = split_tokens(batch.column(1))
+    words = tokens.dictionary_encode()
+    width = max(len(words.dictionary), 1)
+    pairs, counts = np.unique(row * width + words.indices.to_numpy(), return_counts=True)
+    at, length = pairs // width, np.bincount(row, minlength=batch.num_rows)
+    columns = [words.dictionary.take(pa.array(pairs % width)), batch.column(0).take(pa.array(at)), pa.array(counts),
+               pa.array(length[at])]
     return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
 

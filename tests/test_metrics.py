@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scalars import ts
 from tessera.operators import metrics as mt, scalar_index as si, text_index as tx
+from tessera.operators.windows import hot_keys, with_previous
 
 START = datetime(2024, 1, 1)
 
@@ -25,14 +26,17 @@ def hot_events(spark, n=3000):
     return df.repartition(6), frame
 
 
-def test_state_durations_of_a_hot_task_match_a_plain_lag(spark):
+@pytest.mark.parametrize("hot_rows", [10, 500, 1 << 20])
+def test_state_durations_of_a_hot_task_match_a_plain_lag(spark, hot_rows):
     df, frame = hot_events(spark)
+    if hot_rows == 500:
+        assert [r[0] for r in hot_keys(df, ["task_uuid"], hot_rows).collect()] == ["t0"]
     want = frame.sort_values(["task_uuid", "created_at", "event_id"])
     by_task = want.groupby("task_uuid")
     want["seconds"] = by_task["created_at"].diff().dt.total_seconds()
     want["from_status"] = by_task["to_status"].shift()
     want = want.dropna(subset=["seconds"]).set_index("event_id")
-    got = mt.state_durations(df).toPandas().set_index("event_id")
+    got = mt.state_durations(df, hot_rows).toPandas().set_index("event_id")
     assert len(got) == len(want)
     assert (got["seconds"].sort_index() == want["seconds"].sort_index()).all()
     assert (got["from_status"].sort_index() == want["from_status"].sort_index()).all()
@@ -47,8 +51,17 @@ def test_latest_event(spark):
 def test_stalls_look_across_hours(spark):
     rows = [(1, "a", START), (2, "a", START + timedelta(minutes=4)), (3, "a", START + timedelta(hours=2)), (4, "b", START)]
     df = spark.createDataFrame(rows, "event_id long, worker_id string, created_at timestamp_ntz")
-    got = mt.stalls(df, "worker_id").collect()
-    assert [(r["worker_id"], r["gap_seconds"]) for r in got] == [("a", 6960.0)]
+    for hot_rows in (1, 1 << 20):
+        got = mt.stalls(df, "worker_id", hot_rows=hot_rows).collect()
+        assert [(r["worker_id"], r["gap_seconds"]) for r in got] == [("a", 6960.0)]
+
+
+def test_rows_without_a_key_can_be_hot_too(spark):
+    rows = [(i, None if i % 3 else "a", START + timedelta(minutes=i)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "event_id long, worker_id string, created_at timestamp_ntz")
+    got = with_previous(df, ["worker_id"], ["created_at"], F.date_trunc("hour", "created_at"), ["event_id"], at_least=5)
+    found = {r["event_id"]: r["previous"]["event_id"] if r["previous"] else None for r in got.collect()}
+    assert found == {i: i - 3 if i % 3 == 0 and i else None if i in (0, 1) else i - (1 if i % 3 == 2 else 2) for i in range(3000)}
 
 
 def test_histogram_and_quantile(spark):
