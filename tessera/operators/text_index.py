@@ -90,7 +90,7 @@ class TextIndex:
         row-group statistics narrow a lookup further."""
         index = cls(df.sparkSession, path)
         rows = build_postings(df, key, column).withColumn("bucket", bucket_of(F.col("token"), buckets))
-        (rows.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "token", key)
+        (rows.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "token")
              .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
         # one row per part: documents, then tokens
         size = df.agg(F.count(F.lit(1)).alias("n_docs"), F.lit(0).cast("long").alias("total_len"))
