@@ -16,7 +16,7 @@ newest row wins, so a lost executor or driver leaves the last good state.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, replace
 
 import numpy as np
@@ -380,11 +380,14 @@ class IvfIndex:
 
         Only probed partitions are read (a literal filter on the partition column).
         """
-        return self._search_join(self.meta(), queries, qid, qvec, k, nprobes)
-
-    def _search_join(self, meta: IndexMeta, queries: DataFrame, qid: str, qvec: str, k: int,
-                     nprobes: int) -> DataFrame:
+        meta = self.meta()
         postings = self.postings(meta)
+        run = self._searcher(meta, postings, qid, k, nprobes)
+        return per_block(queries, qid, qvec, postings.schema[meta.key_name], k, run)
+
+    def _searcher(self, meta: IndexMeta, postings: DataFrame, qid: str, k: int,
+                  nprobes: int) -> Callable[[QueryBlock], DataFrame]:
+        """Search of one query block over the partitions it probes."""
         flat = meta.index_type == "IVF_FLAT"
         value = meta.column_name if flat else "code"
         part_ids, matrix = self.model()
@@ -414,7 +417,7 @@ class IvfIndex:
                         continue
                     for q in by_part[p]:
                         dist = adc_distance(best.queries[q] - matrix[row_of[p]], codes[at], books)
-                        near = best.near(q, dist)
+                        near = best.near(q, dist, keys[at])
                         scored.append((np.full(len(near), q), dist[near], keys[at[near]]))
                 if scored:
                     best.offer(*(np.concatenate(c) for c in zip(*scored)))
@@ -422,7 +425,7 @@ class IvfIndex:
             pruned = postings.where(F.col("part_id").isin(sorted(by_part)))
             return scan_topk(pruned, meta.key_name, ["part_id", value], block, qid, k, meta.metric, feed)
 
-        return per_block(queries, qid, qvec, postings.schema[meta.key_name], k, run)
+        return run
 
     def search(self, vector: Sequence[float], k: int = K_DEFAULT, nprobes: int = 1,
                refine_factor: int | None = None, table: DataFrame | None = None,
@@ -433,19 +436,19 @@ class IvfIndex:
         Rows of ``table`` newer than the covered version are not in the index yet and
         are scanned flat, so an append is visible at once.
         """
-        spark, meta = self.spark, self.meta()
+        meta = self.meta()
         check_k(k)
         check_dimension(vector, meta.column_name, meta.dim)
-        query = spark.createDataFrame([(0, [float(x) for x in vector])], "_q int, _v array<double>")
         if refine_factor is not None and refine_factor < 1:
             raise ValueError(f"refine_factor must be at least 1, got {refine_factor}")
         want = k * (refine_factor or 1)
-        hits = self._search_join(meta, query, "_q", "_v", want, nprobes).select(meta.key_name, DISTANCE)
+        postings = self.postings(meta)
+        one = QueryBlock([0], T.IntegerType(), [vector])
+        hits = self._searcher(meta, postings, "_q", want, nprobes)(one).select(meta.key_name, DISTANCE)
         if refine_factor is not None:
-            probed = [int(p) for p in self.probes(np.asarray([vector], dtype=np.float64), nprobes)[0]]
-            postings = self.postings(meta).where(F.col("part_id").isin(probed))
+            probed = [int(p) for p in self.probes(one.matrix, nprobes)[0]]
             listed = short_list(hits.select(meta.key_name), want)
-            candidates = postings.join(listed, meta.key_name, "left_semi")
+            candidates = postings.where(F.col("part_id").isin(probed)).join(listed, meta.key_name, "left_semi")
             hits = nearest(candidates, vector, meta.column_name, meta.key_name, k, meta.metric).select(
                 meta.key_name, DISTANCE)
         if include_unindexed and table is not None and VERSION in table.columns:

@@ -123,18 +123,22 @@ class TopK:
             bound = np.minimum(bound, np.partition(approx, self.k - 1, axis=1)[:, self.k - 1])
         qi, ri = np.nonzero(approx <= (bound + 2 * slack)[:, None])
         if len(qi):
+            step = max(1, MATRIX_CELLS // rows.shape[1])
             exact = np.concatenate([
-                row_distance(rows[ri[i:i + 65536]], self.queries[q_index[qi[i:i + 65536]]], self.metric)
-                for i in range(0, len(qi), 65536)
+                row_distance(rows[ri[i:i + step]], self.queries[q_index[qi[i:i + step]]], self.metric)
+                for i in range(0, len(qi), step)
             ])
             self.offer(q_index[qi], exact, keys[ri])
 
-    def near(self, q: int, dist: np.ndarray) -> np.ndarray:
-        """Positions of scored rows that can still enter the k best of query ``q``."""
+    def near(self, q: int, dist: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Positions of the at most k scored rows that can still enter the k best of query ``q``."""
         bound = self.worst[q]
         if len(dist) > self.k:
             bound = min(bound, np.partition(dist, self.k - 1)[self.k - 1])
-        return np.flatnonzero(dist <= bound)
+        at = np.flatnonzero(dist <= bound)
+        if len(at) > self.k:  # many equal distances: the smallest keys stay
+            at = at[np.lexsort((keys[at], dist[at]))[:self.k]]
+        return at
 
     def offer(self, q: np.ndarray, dist: np.ndarray, key: np.ndarray) -> None:
         """Merge scored candidates; keep the k best per query by (distance, key)."""

@@ -138,6 +138,16 @@ def test_training_on_a_share_still_indexes_every_row(spark, path):
     assert index.postings().select("id").distinct().count() == 500
 
 
+def test_equal_codes_are_settled_by_key(spark, path):
+    df = spark.createDataFrame([(i, [1.0, 2.0, 3.0, 4.0]) for i in range(500)], "id long, vec array<float>").repartition(4)
+    centroids = spark.createDataFrame([(0, [0.0] * 4)], "part_id int, centroid array<double>")
+    books = spark.createDataFrame([(0, 0, [1.0, 2.0]), (1, 0, [3.0, 4.0])], "sub int, code int, codeword array<double>")
+    index = build(df, path, index_type="IVF_PQ", num_sub_vectors=2, centroids=centroids, codebooks=books)
+    got = index.search([1.0, 2.0, 3.0, 5.0], 7, nprobes=1).collect()
+    assert [(r["id"], r["_distance"]) for r in got] == [(i, 1.0) for i in range(7)]
+    assert [r["id"] for r in index.search([1.0, 2.0, 3.0, 5.0], 3, nprobes=1, refine_factor=2).collect()] == [0, 1, 2]
+
+
 def test_checks(spark, path):
     df = rows_of(spark, 60)
     with pytest.raises(ValueError, match="divide"):
