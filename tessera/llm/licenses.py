@@ -46,15 +46,20 @@ TEMPLATES = {
 }
 
 
-def word_bigrams(df: DataFrame, text: str, into: str) -> DataFrame:
-    """``df`` with column ``text`` replaced by ``into``, its distinct pairs of neighbouring words.
+#: Words are runs of digits, letters and all characters from U+0080 up.
+_PARTING = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-    Words are runs of a-z and 0-9 after lowering A-Z. They are a column of their own, so no lambda splits a text again.
-    """
-    words = F.filter(F.split(ascii_lower(F.col(text)), "[^a-z0-9]+", -1), lambda w: w != "")
-    rest = F.greatest(F.size("_words") - 1, F.lit(0))
-    pairs = F.zip_with(F.slice("_words", 1, rest), F.slice("_words", 2, rest), lambda a, b: F.concat(a, F.lit(" "), b))
-    return df.withColumn("_words", words).drop(text).withColumn(into, F.array_distinct(pairs)).drop("_words")
+
+def split_words(text):
+    """Words of a lowered text, as an array column."""
+    return F.array_remove(F.split(text, _PARTING, -1), "")
+
+
+def with_bigrams(df: DataFrame, into: str) -> DataFrame:
+    """``df`` with ``words`` replaced by ``into``, its distinct pairs of neighbouring words."""
+    rest = F.greatest(F.size("words") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("words", 1, rest), F.slice("words", 2, rest), lambda a, b: F.concat(a, F.lit(" "), b))
+    return df.withColumn(into, F.array_distinct(pairs)).drop("words")
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, similarity: float = SIMILARITY,
@@ -75,14 +80,19 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, simil
     rows = spark.createDataFrame([(n, t) for n, t in sorted(names.items())], "name string, text string")
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     low, high = similarity / (2 - similarity), (2 - similarity) / similarity
-    known = word_bigrams(rows, "text", "known").withColumnRenamed("name", "license")
+    known = with_bigrams(rows.select(F.col("name").alias("license"), split_words(ascii_lower(F.col("text"))).alias("words")), "known")
     known = known.where(F.size("known") > 0).select("license", "known", F.explode(F.sequence(
         F.ceil(F.size("known") * low - 1e-9).cast("int"), F.floor(F.size("known") * high + 1e-9).cast("int"))).alias("size"))
+    least, most = known.agg(F.min("size"), F.max("size")).first()
+    plain = base.where(F.length("text") > 0).select("id", ascii_lower(F.col("text")).alias("text"))
     paragraphs = F.filter(F.split("text", "\n[ \t\r]*\n\\s*", -1), lambda p: p.contains("\n"))
     units = F.concat(F.split("text", "\n", -1), paragraphs,
                      F.when(F.col("text").contains("\n"), F.array("text")).otherwise(F.array().cast("array<string>")))
-    units = base.where(F.length("text") > 0).select("id", F.explode(units).alias("unit"))
-    units = word_bigrams(units, "unit", "grams").withColumn("size", F.size("grams"))
+    # words are made inside the generator, so that the filters below don't split a text again
+    units = plain.select("id", F.explode(F.transform(units, split_words)).alias("words"))
+    # d distinct words make d - 1 distinct bigrams at least, n words n - 1 at most: other units match no template's size
+    units = units.where((F.size("words") > (least or 1)) & (F.size(F.array_distinct("words")) <= (most or 0) + 1))
+    units = with_bigrams(units, "grams").withColumn("size", F.size("grams"))
     dice = F.size(F.array_intersect("grams", "known")) * 2.0 / (F.size("grams") + F.size("known"))
     found = units.join(F.broadcast(known), "size").select("id", "license", dice.alias("dice")).where(F.col("dice") >= similarity)
     none = base.select("id", F.lit(None).cast("string").alias("license"), F.lit(None).cast("double").alias("dice"))
@@ -98,7 +108,7 @@ def _sql() -> str:
     values = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in sorted(TEMPLATES.items()))
 
     def grams(text: str) -> str:
-        words = (f"list_filter(regexp_split_to_array(translate({text}, '{UPPER}', '{LOWER}'), '[^a-z0-9]+'), "
+        words = (f"list_filter(regexp_split_to_array(translate({text}, '{UPPER}', '{LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), "
                  "lambda w: w <> '')")
         return (f"(SELECT list_distinct(list_transform(range(1, greatest(len(ws), 1)), lambda i: ws[i] || ' ' || ws[i + 1])) "
                 f"FROM (SELECT {words} AS ws))")
