@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
@@ -10,6 +9,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from tessera.llm import query
 from tessera.llm.common import batch_of, binary_values, filesystem, given
@@ -96,37 +96,40 @@ def _tables(folder: str, block: int) -> list[WuManber]:
     return _TABLES[folder, block]
 
 
-def _search(batches: Iterator[pa.RecordBatch], folder: str, blocks: list[int], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    def flush(ids: list, texts: list[bytes | None]) -> pa.RecordBatch:
-        docs = [words_of(t) for t in texts]
+def _search(batches: Iterator[pa.RecordBatch], folder: str, blocks: list[int], shape: pa.Schema) -> Iterator[pa.RecordBatch]:
+    def flush(group: list[pa.RecordBatch]) -> pa.Table:
+        table = pa.Table.from_batches(group)
+        docs = [words_of(t) for t in binary_values(table.column("_text").combine_chunks())]
         hit = [bytearray(len(d)) for d in docs]
         items: list[set[str]] = [set() for _ in docs]
         for block in blocks:
-            for table in _tables(folder, block):
-                ones = b"\x01" * table.length
+            for search in _tables(folder, block):
+                ones = b"\x01" * search.length
                 for words, marks, named in zip(docs, hit, items):
-                    for start, found in table.search(words):
-                        marks[start:start + table.length] = ones
+                    for start, found in search.search(words):
+                        marks[start:start + search.length] = ones
                         named.update(found)
-        return batch_of(schema, [(i, len(d), sum(h), sorted(s)) for i, d, h, s in zip(ids, docs, hit, items)])
+        table = table.drop_columns(["_text"])
+        for name, values in (("n_words", [len(d) for d in docs]), ("n_hit", [sum(h) for h in hit]), ("items", [sorted(s) for s in items])):
+            table = table.append_column(name, pa.array(values, shape.field(name).type))
+        return table
 
-    ids, texts, size = [], [], 0
+    group, size = [], 0
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), binary_values(batch.column(1))):
-            ids.append(doc)
-            texts.append(text)
-            size += len(text or b"") + 64
+        for low in range(0, batch.num_rows, 1024):
+            part = batch.slice(low, 1024)
+            group.append(part)
+            size += part.get_total_buffer_size()
             if size >= GROUP_BYTES:
-                yield flush(ids, texts)
-                ids, texts, size = [], [], 0
-    if ids:
-        yield flush(ids, texts)
+                yield from flush(group).to_batches()
+                group, size = [], 0
+    if group:
+        yield from flush(group).to_batches()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
-                  text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-                  table_bytes: int = TABLE_BYTES) -> DataFrame:
-    """Per row of ``docs``: its id, ``n_words``, ``n_hit`` words inside benchmark windows, and ``items`` that occur in it.
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text",
+                  item_col: str = "item_id", item_text: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
+    """All columns of ``docs`` and ``n_words``, ``n_hit`` words inside benchmark windows, and ``items`` that occur.
 
     A window is ``window`` consecutive words of an item; a shorter item is one window. The windows are stored by hash
     in tables of about ``table_bytes``; each task searches its documents with one table after the other, so the whole
@@ -134,6 +137,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
 
     NULL or empty text: no words, no hits. Item without words: matches nothing. NULL item id: listed as ``null``.
     Repeated items: the same windows. Repeated documents: a row each. Empty benchmark: no hits; empty table: no rows.
+    Own columns of these names in ``docs`` are replaced.
     """
     spark = docs.sparkSession
     wins = benchmark.select(F.col(item_text), F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"))
@@ -145,22 +149,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     wins.repartition("block").write.partitionBy("block").parquet(folder)
     found = spark.read.schema("win binary, item string, block int").parquet(folder).select("block").distinct()
     blocks = sorted(r.block for r in found.collect())
-    kind = docs.schema[id_col].dataType.simpleString()
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+    added = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string()))])
+    kept = docs.drop(*added.names)
+    shape = StructType(list(kept.schema)).add("n_words", "long").add("n_hit", "long").add("items", ArrayType(StringType()))
+    rows = docs.select(*[F.col(c) for c in kept.columns], F.col(text_col).alias("_text"))
+    return rows.mapInArrow(lambda b: _search(b, folder, blocks, added), shape)
 
-    shape = f"id {kind}, n_words long, n_hit long, items array<string>"
-    schema = to_arrow_schema(_parse_datatype_string(shape))
-    out = docs.select(id_col, text_col).mapInArrow(lambda b: _search(b, folder, blocks, schema), shape)
-    return out.withColumnRenamed("id", id_col)
+
+def contaminated():
+    """The rule for a document: some word is hit, and a twentieth of its words at least."""
+    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
 def digest(found: DataFrame) -> DataFrame:
     """The contract's columns: items as a count and a hash, and whether the document is contaminated."""
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"))
 
 
 @query("op5_decontaminate", r"""
@@ -190,4 +195,5 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items
 FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
 """)
 def op5_decontaminate(spark, sf_dir):
-    return digest(contamination(given(spark, sf_dir, "documents"), given(spark, sf_dir, "benchmark")))
+    docs = given(spark, sf_dir, "documents").select("doc_id", "text")
+    return digest(contamination(docs, given(spark, sf_dir, "benchmark")))

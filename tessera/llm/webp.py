@@ -259,10 +259,8 @@ def write_lengths(out: BitWriter, lengths: list[int]) -> None:
     for place in _CODE_ORDER[:stored]:
         out.put(own[place], 3)
     out.put(0, 1)
-    for symbol, extra, size in runs:
-        out.put(codes[symbol], own[symbol])
-        if size:
-            out.put(extra, size)
+    for symbol, extra, size in runs:  # the extra bits follow the code
+        out.put(codes[symbol] | extra << own[symbol], own[symbol] + size)
 
 
 # Decoder ----------------------------------------------------------------------------------------------------------------
@@ -320,7 +318,7 @@ def _one_channel(bits: Bits, codes: list[Prefix], count: int, width: int) -> np.
     pair = (step[:end - first] + step[np.minimum(spots + step[:end - first], len(step) - 1)]).tobytes()
     spot, limit, steps = bits.at - first, end - first, []
     add = steps.append
-    while spot < limit and len(steps) <= count:
+    while spot < limit:
         add(spot)
         spot += pair[spot]
     index = np.empty(2 * len(steps), np.int64)
