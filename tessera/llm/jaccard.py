@@ -133,22 +133,21 @@ _SLICE = 1 << 14
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts, seeds = np.zeros(1 << COUNT_BITS, np.int64), _numbers(KEYS, 3)
+    counts, seeds = np.zeros(1 << COUNT_BITS, np.int64), _numbers(KEYS, 3)[:, None]
     for batch in batches:
-        rows = []
+        rows, cells = [], []
         for doc, words in zip(batch.column(0).to_pylist(), _documents(binary_values(batch.column(1)))):
             grams = _shingles(words)
             if not len(grams):
                 rows.append((doc, 0, None, None, None, None))
                 continue
-            counts += np.bincount((grams >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(counts)) \
-                if len(grams) > len(counts) // 8 else 0
-            if len(grams) <= len(counts) // 8:
-                np.add.at(counts, (grams >> np.uint64(64 - COUNT_BITS)).astype(np.int64), 1)
+            cells.append(grams >> np.uint64(64 - COUNT_BITS))
             order = np.arange(1, len(words) + 1, dtype=np.uint64)
-            seq = np.array([len(words), _mix(words + order).sum(dtype=np.uint64), _mix(words ^ _mix(order)).sum(dtype=np.uint64)], "<u8")
-            keys = [int(_mix(grams ^ s).min().view(np.int64)) for s in seeds]
+            seq = np.array([len(words), _mix(words + order).sum(dtype=np.uint64), _mix(words ^ (order * np.uint64(_BASE))).sum(dtype=np.uint64)], "<u8")
+            keys = _mix(grams[None, :] ^ seeds).min(axis=1).view(np.int64).tolist()
             rows.append((doc, len(grams), seq.tobytes(), keys, None, None))
+        if cells:
+            np.add.at(counts, np.concatenate(cells).astype(np.intp), 1)
         yield batch_of(_PROFILE, rows)
     if counts.any():
         yield batch_of(_PROFILE, [(None, 0, None, None, i, counts[i * _SLICE:(i + 1) * _SLICE].tobytes())
@@ -387,16 +386,21 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # The operator -----------------------------------------------------------------------------------------------------------
 
-def _star_round(texts: DataFrame, docs: DataFrame, number: int) -> DataFrame:
+def _star_round(texts: DataFrame, docs: DataFrame, links: DataFrame) -> DataFrame:
     """Links between each document and one chosen document per key that they share, where their labels differ.
 
-    ``docs`` has ``id``, ``n``, ``label`` and ``keys``. The chosen one is the smallest by a hash of id and round, found by
-    an aggregate that combines before the shuffle; a key shared by a third of all documents gives one pair for each.
+    ``docs`` has ``id``, ``n``, ``copies``, ``label`` and ``keys``. The chosen one has most links so far, then most exact
+    copies: it lies in the middle of a group of near copies, so that most others are similar to it. It is found by an
+    aggregate that combines before the shuffle; a key shared by a third of all documents gives one pair for each.
     """
     p, q = SIMILARITY
-    rank = F.struct(F.xxhash64("id", F.lit(number)).alias("r"), "id", "n", "label")
-    keyed = docs.select("id", "n", "label", F.posexplode("keys").alias("k", "key"))
-    chosen = keyed.groupBy("k", "key").agg(F.min(rank).alias("c"), F.count(F.lit(1)).alias("many")).where("many > 1")
+    degree = links.select(F.col("a").alias("_id")).unionByName(links.select(F.col("b").alias("_id"))).groupBy("_id").agg(
+        F.count(F.lit(1)).alias("degree"))
+    docs = docs.join(degree, docs.id == degree._id, "left")
+    rank = F.struct((-F.coalesce("degree", F.lit(0))).alias("d"), (-F.col("copies")).alias("c"), F.xxhash64("id").alias("r"),
+                    "id", "n", "label")
+    keyed = docs.select("id", "n", "label", rank.alias("rank"), F.posexplode("keys").alias("k", "key"))
+    chosen = keyed.groupBy("k", "key").agg(F.min("rank").alias("c"), F.count(F.lit(1)).alias("many")).where("many > 1")
     pairs = keyed.join(chosen.select("k", "key", F.col("c.id").alias("cid"), F.col("c.n").alias("cn"), F.col("c.label").alias("cl")),
                        ["k", "key"])
     pairs = pairs.where(F.col("label") != F.col("cl"))
@@ -436,20 +440,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(id_or_none(F.col(id_col)).alias("id"), F.col(text_col).alias("text"))
     profiles = saved(texts.mapInArrow(_profiles, _PROFILE_SHAPE), "profiles")
     rows = profiles.where("cell is null").select("id", "n", "seq", "keys")
-    classes = rows.where("n > 0").groupBy("seq").agg(F.min("id").alias("rep"))
-    members = saved(rows.drop("keys").join(classes, "seq", "left"), "members")
+    classes = rows.where("n > 0").groupBy("seq").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    classes = saved(classes, "classes")
+    members = saved(rows.drop("keys").join(classes.drop("copies"), "seq", "left"), "members")
 
     # ids with several texts tie their classes together
     several = members.where("rep is not null").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")
     ties = members.join(several, "id").where("rep <> a").select("a", F.col("rep").alias("b"))
     links = [saved(ties.distinct(), "ties")]
 
-    reps = rows.where("n > 0").join(classes, [rows.seq == classes.seq, rows.id == classes.rep], "left_semi")
-    nodes = reps.groupBy("id", "n").agg(F.first("keys").alias("keys"), F.first("id").alias("label"))
+    own = classes.select(F.col("seq").alias("_seq"), F.col("rep").alias("_rep"), "copies")
+    reps = rows.where("n > 0").join(own, [F.col("seq") == F.col("_seq"), F.col("id") == F.col("_rep")])
+    nodes = reps.groupBy("id", "n").agg(F.first("keys").alias("keys"), F.max("copies").alias("copies"), F.first("id").alias("label"))
     nodes = saved(nodes, "nodes")
     labelled = nodes
-    for number in range(ROUNDS):
-        links.append(_star_round(texts, labelled, number))
+    for _ in range(ROUNDS):
+        links.append(_star_round(texts, labelled, _union(links)))
         labelled = saved(_relabel(nodes, _union(links)), "labelled")
 
     counts = _frequencies(profiles)
