@@ -17,9 +17,9 @@ from tessera.llm.common import batches_of, given, saved
 
 MAX_GRAM = 5
 #: Size of the model that every task gets: (word, language) and (n-gram, language) rows, most frequent first. Counting
-#: covers all training texts at any size; only the model's table is bounded (about 40 MB in a worker).
-MODEL_WORDS = 200_000
-MODEL_GRAMS = 200_000
+#: covers all training texts at any size; only the model's table is bounded (about 20 MB in a worker).
+MODEL_WORDS = 60_000
+MODEL_GRAMS = 80_000
 MAX_LANGUAGES = 500
 #: Each step to a shorter n-gram costs as much for every language.
 BACKOFF = math.log(0.4)
@@ -27,7 +27,7 @@ SMOOTH = 0.5
 #: Words (and n-grams) that a task counts before it passes its counts on.
 FLUSH = 300_000
 #: Unseen words whose scores a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -93,8 +93,9 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> di
     words = summed(labelled.mapInArrow(_count_words, shape), "lang-words")
     grams = summed(words.mapInArrow(_count_grams, shape), "lang-grams")
 
-    def top(df: DataFrame, limit: int) -> list:
-        return df.orderBy(F.desc("n"), "lang", "item").limit(limit).collect()
+    def top(df: DataFrame, limit: int) -> list[tuple[str, str, int]]:
+        found = df.orderBy(F.desc("n"), "lang", "item").limit(limit).select("lang", "item", "n").toArrow()
+        return list(zip(*(found.column(i).to_pylist() for i in range(3))))
 
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     langs = sorted(r.lang for r in totals.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect())
@@ -107,19 +108,18 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> di
 
     def table(rows: list, order) -> tuple[dict[str, int], np.ndarray]:
         index: dict[str, int] = {}
-        for r in rows:
-            if r.lang in place:
-                index.setdefault(r.item, len(index))
+        for lang, item, _ in rows:
+            if lang in place:
+                index.setdefault(item, len(index))
         size = {k: np.array([sizes.get((lang, k), (0, 0)) for lang in langs], float).reshape(-1, 2)
                 for k in {order(i) for i in index}}
         floor = {k: np.log(SMOOTH / (s[:, 0] + SMOOTH * (s[:, 1] + 1))) for k, s in size.items()}
-        out = np.array([floor[order(i)] for i in index]).reshape(len(index), len(langs))
-        for r in rows:
-            if r.lang in place:
-                k = order(r.item)
-                n, kinds = size[k][place[r.lang]]
-                out[index[r.item], place[r.lang]] = math.log((r.n + SMOOTH) / (n + SMOOTH * (kinds + 1)))
-        return index, out.astype(np.float32)
+        out = np.array([floor[order(i)] for i in index], np.float32).reshape(len(index), len(langs))
+        for lang, item, count in rows:
+            if lang in place:
+                n, kinds = size[order(item)][place[lang]]
+                out[index[item], place[lang]] = math.log((count + SMOOTH) / (n + SMOOTH * (kinds + 1)))
+        return index, out
 
     return {"langs": langs, "words": table(top(words, MODEL_WORDS), lambda item: 0),
             "grams": table(top(grams, MODEL_GRAMS), len)}
@@ -146,17 +146,17 @@ class Scorer:
     def score(self, words: list[str]) -> np.ndarray:
         """Mean log score per language of a non-empty list of words."""
         total = np.zeros(len(self.langs))
-        for at in range(0, len(words), 100_000):
-            part = words[at:at + 100_000]
+        for at in range(0, len(words), 50_000):
+            part = words[at:at + 50_000]
             if self.used + len(part) > len(self.rows):
                 self.index = {w: i for w, i in self.index.items() if i < self.known}
                 self.used = self.known
-            for word in part:
-                if word not in self.index:
-                    self.rows[self.used] = self.unseen(word)
-                    self.index[word] = self.used
-                    self.used += 1
-            total += self.rows[[self.index[w] for w in part]].sum(axis=0, dtype=float)
+            index = self.index
+            for word in set(part).difference(index):
+                self.rows[self.used] = self.unseen(word)
+                index[word] = self.used
+                self.used += 1
+            total += self.rows[[index[w] for w in part]].sum(axis=0, dtype=float)
         return total / len(words)
 
     def best(self, words: list[str]) -> tuple[str, float]:
