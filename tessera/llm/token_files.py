@@ -19,9 +19,9 @@ from tessera.llm.common import batch_of, batches_of, filesystem, given, new_file
 
 END_ID = 2
 #: A file is closed when it holds so many ids, so a task's memory is bounded whatever its share of the documents.
-FILE_IDS = 4_000_000
+FILE_IDS = 1_000_000
 #: Byte strings whose ids a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 MAGIC = b"TOKF0001"
 
@@ -236,7 +236,8 @@ def read_tokens(spark: SparkSession, files: DataFrame) -> DataFrame:
                 yield from batches_of(_READ, (
                     (k, start + int(e - n), raw[4 * int(e - n):4 * int(e)]) for k, n, e in zip(keys, sizes, ends)), 2048)
 
-    each = files.select("file", "start").repartition("file")
+    tasks = max(1, -(-files.count() // 4))  # the list is a few bytes a file, so its size would not spread it
+    each = files.select("file", "start").repartition(tasks, "file")
     return each.mapInArrow(read, "id long, start long, ids binary")
 
 

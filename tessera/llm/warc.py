@@ -243,12 +243,14 @@ def lookup(spark: SparkSession, shards: DataFrame, queries: DataFrame, url_col:
     Returns ``key``, ``page``, ``type``, ``digest``, ``payload_bytes``, ``refers_to``, ``payload`` and ``intact``: whether
     a response's payload has the recorded size and digest (true for revisits, which hold none).
     """
-    files = sorted((r.first, r.last, r.file) for r in shards.collect())
+    listed = shards.collect()
+    files = sorted((r.first, r.last, r.file) for r in listed)
+    tasks = max(1, sum(r.lines for r in listed) // (10 * BLOCK_LINES))  # a query is few bytes, a record is not
     highest = [f[1] for f in files]
     key = F.udf(url_key, "string")
     page = id_or_none(F.col(page_col)) if page_col else F.lit(None).cast("long")
     asked = queries.select(key(F.col(url_col)).alias("key"), page.alias("page")).distinct()
-    asked = asked.repartitionByRange("key", "page").sortWithinPartitions("key", "page")
+    asked = asked.repartitionByRange(tasks, "key", "page").sortWithinPartitions("key", "page")
     schema = pa.schema([("key", pa.string()), ("page", pa.int64()), ("type", pa.string()), ("digest", pa.string()),
                         ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("intact", pa.bool_())])
 
