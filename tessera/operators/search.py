@@ -109,7 +109,18 @@ class TopK:
         return q_norms ** 2 - 2.0 * inner + r_norms ** 2, slack
 
     def update(self, q_index: np.ndarray, rows: np.ndarray, keys: np.ndarray) -> None:
-        """Offer ``rows`` to the queries in ``q_index``, as distance matrices of bounded size."""
+        """Offer ``rows`` to the queries in ``q_index``, as distance matrices of bounded size.
+
+        Rows and queries without a distance (an element that is NaN or infinite; for cosine also a zero vector) are put
+        aside first: one of them must not widen or void the bound that the others are cut by.
+        """
+        with np.errstate(over="ignore", invalid="ignore"):
+            usable, asked = np.isfinite((rows * rows).sum(axis=1)), np.isfinite(self.norms[q_index])
+        if self.metric == "cosine":
+            usable, asked = usable & rows.any(axis=1), asked & (self.norms[q_index] > 0)
+        rows, keys, q_index = rows[usable], keys[usable], q_index[asked]
+        if not len(q_index):
+            return
         for r in range(0, len(rows), 8192):
             part, part_keys = rows[r:r + 8192], keys[r:r + 8192]
             q_step = max(1, MATRIX_CELLS // len(part))

@@ -20,7 +20,7 @@ CLOSED = "<= (SELECT max(created_at) FROM {frame}) - INTERVAL 10 MINUTE"
 
 
 def stream_of(spark, sf, table):
-    return st.stream_files(spark, sf, given(spark, sf, table).schema, f"{table}.parquet")
+    return st.stream_table(spark, f"{sf}/{table}.parquet", given(spark, sf, table).schema)
 
 
 def event_stream(spark, sf):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -88,7 +89,7 @@ def work_root(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", "")
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     if _LOCAL_WORK_ROOT is None:
         _LOCAL_WORK_ROOT = tempfile.mkdtemp(prefix="tessera-")

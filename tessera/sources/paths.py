@@ -17,6 +17,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(jvm_path)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, jvm_path = _fs_and_path(spark, path)
+    return fs.exists(jvm_path) and fs.getFileStatus(jvm_path).isDirectory()
+
+
 def make_path(spark: SparkSession, path: str) -> None:
     fs, jvm_path = _fs_and_path(spark, path)
     fs.mkdirs(jvm_path)

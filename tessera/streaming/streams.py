@@ -16,6 +16,7 @@ from tessera.functions.scalars import ratio
 from tessera.operators.ivf import IvfIndex
 from tessera.operators.metrics import FINISHED
 from tessera.session import work_path
+from tessera.sources.paths import is_folder
 from tessera.sources.tables import VERSION, merge_into, write_overwrite
 from tessera.streaming.trail import TRAIL, TaskTrail
 
@@ -32,6 +33,14 @@ def stream_files(spark: SparkSession, directory: str, schema: T.StructType, name
             .option("maxFilesPerTrigger", max_files).parquet(directory))
 
 
+def stream_table(spark: SparkSession, path: str, schema: T.StructType, max_files: int = 1000) -> DataFrame:
+    """A Parquet table as a stream, be it a folder of part files or one file."""
+    if is_folder(spark, path):
+        return stream_files(spark, path, schema, max_files=max_files)
+    folder, _, name = path.rpartition("/")
+    return stream_files(spark, folder, schema, name, max_files)
+
+
 def run_to_table(stream: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:
     """Process everything available, append it to a Parquet table, and read that back."""
     writer = (stream.writeStream.format("parquet").outputMode("append")

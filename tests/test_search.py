@@ -131,3 +131,16 @@ def test_recall_counts_shared_neighbours(spark):
     found = spark.createDataFrame([(1, 10), (1, 11), (2, 13)], "q long, id long")
     row = se.recall(found, truth, "q", "id").first()
     assert (row["queries"], row["recall"]) == (2, 0.5)
+
+
+@pytest.mark.parametrize("metric", ["l2", "dot", "cosine"])
+def test_vectors_without_a_distance_do_not_hide_others(metric):
+    rng = np.random.default_rng(4)
+    rows, queries = rng.normal(size=(9000, 8)), rng.normal(size=(3, 8))
+    rows[7, 2], rows[8, 0], rows[9] = np.nan, np.inf, 0.0
+    best = se.TopK(queries, 10, metric)
+    best.update(np.arange(3), rows, np.arange(9000))
+    clean = se.TopK(queries, 10, metric)
+    keep = np.delete(np.arange(9000), [7, 8, 9] if metric == "cosine" else [7, 8])
+    clean.update(np.arange(3), rows[keep], keep)
+    assert all((a == b).all() for a, b in zip(best.results(), clean.results())) and len(best.results()[0]) == 30

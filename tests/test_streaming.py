@@ -92,3 +92,10 @@ def test_settings_are_put_back(spark):
     with st.session_conf(spark, spark__sql__streaming__stateStore__providerClass=st.ROCKSDB):
         assert spark.conf.get(name) == st.ROCKSDB
     assert spark.conf.get(name) == before
+
+
+def test_a_table_of_part_files_is_streamed_whole(spark, tmp_path, path):
+    table = str(tmp_path / "events.parquet")
+    spark.createDataFrame([event(i, i) for i in range(8)], SCHEMA).repartition(3).write.parquet(table)
+    stream = st.stream_table(spark, table, spark.createDataFrame([], SCHEMA).schema)
+    assert st.run_to_table(stream, path).count() == 8
