@@ -168,8 +168,8 @@ class Scorer:
         return self.langs[at], float(share[at] / share.sum())
 
 
-def identify(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``lang_pred``, ``score``.
+def identify(docs: DataFrame, model: dict, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all if None) and ``lang_pred``, ``score``.
 
     ``lang_pred`` is the language of the highest mean word score, ``score`` its share after exponentiation (0 to 1).
     A known word scores its log frequency per language, any other the mean log frequency of its longest n-grams that
@@ -177,22 +177,21 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     ``und`` and 0. Ties: the language first by name. Own ``lang_pred``/``score`` columns of ``docs`` are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the model's limits
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    others = [c for c in kept if c != text_col]  # the text is sent once, as the first column
+    order = [0 if c == text_col else 1 + others.index(c) for c in kept]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            at = batch.schema.get_field_index("_text")
-            said = [scorer.best(words_of(t)) for t in batch.column(at).to_pylist()]
-            table = pa.Table.from_batches([batch]).drop_columns(["_text"])
-            table = table.append_column("lang_pred", pa.array([s[0] for s in said], pa.string()))
-            table = table.append_column("score", pa.array([s[1] for s in said], pa.float64()))
-            yield from table.to_batches()
-
-    kept = [F.col(c) for c in docs.columns if c not in ("lang_pred", "score")]
-    given_rows = docs.select(*kept, F.col(text_col).alias("_text"))
-    shape = docs.drop("lang_pred", "score").schema
+            said = [scorer.best(words_of(t.as_py())) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i) for i in order), pa.array([s[0] for s in said], pa.string()),
+                 pa.array([s[1] for s in said], pa.float64())], names=[*kept, "lang_pred", "score"])
+
+    shape = docs.select(*kept).schema
     shape = type(shape)(list(shape)).add("lang_pred", "string").add("score", "double")
-    return given_rows.mapInArrow(predict, shape)
+    return docs.select(text_col, *others).mapInArrow(predict, shape)
 
 
 def held_out(id_col: str = "doc_id"):
@@ -208,4 +207,4 @@ def train_on_documents(docs: DataFrame) -> dict:
 def op6_langid(spark, sf_dir):
     docs = given(spark, sf_dir, "documents")
     rows = docs.select("doc_id", held_out().alias("held_out"), "text")
-    return identify(rows, train_on_documents(docs)).select("doc_id", "held_out", "lang_pred", "score")
+    return identify(rows, train_on_documents(docs), keep=["doc_id", "held_out"])
