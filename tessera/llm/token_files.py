@@ -8,6 +8,7 @@ import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -158,6 +159,12 @@ class Encoder:
         return b"".join(out)
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """One encoder a worker process, so that its many tasks neither load it again nor forget its pieces."""
+    return Encoder(path)
+
+
 _FILES = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("file", pa.string()), ("ids", pa.int64())])
 
 
@@ -177,7 +184,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_i
         return batch_of(_FILES, [(part, number, name, len(ids))])
 
     for batch in batches:
-        encoder = encoder or Encoder(tokenizer)
+        encoder = encoder or encoder_of(tokenizer)
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             blob = encoder.encode(text or "")
             keys.append(key)
@@ -221,24 +228,42 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
 
 
 _READ = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary())])
+_DIGEST = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[tuple[int | None, int, memoryview]]]:
+    """Per file: (id, start, ids as bytes) of its documents."""
+    for batch in batches:
+        for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            fs, path = filesystem(name)
+            with fs.open_input_stream(path) as source:
+                keys, sizes, ids = file_parts(source.read())
+            ends = np.cumsum(sizes)
+            raw = memoryview(ids.astype("<u4").tobytes())
+            yield ((k, start + int(e - n), raw[4 * int(e - n):4 * int(e)]) for k, n, e in zip(keys, sizes, ends))
+
+
+def _each_file(files: DataFrame) -> DataFrame:
+    tasks = max(1, -(-files.count() // 4))  # the list is a few bytes a file, so its size would not spread it
+    return files.select("file", "start").repartition(tasks, "file")
 
 
 def read_tokens(spark: SparkSession, files: DataFrame) -> DataFrame:
     """``id``, ``start`` and ``ids`` (little-endian unsigned 32-bit, as bytes) of every document, read from the files."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                fs, path = filesystem(name)
-                with fs.open_input_stream(path) as source:
-                    keys, sizes, ids = file_parts(source.read())
-                ends = np.cumsum(sizes)
-                raw = ids.astype("<u4").tobytes()
-                yield from batches_of(_READ, (
-                    (k, start + int(e - n), raw[4 * int(e - n):4 * int(e)]) for k, n, e in zip(keys, sizes, ends)), 2048)
+        for found in _documents(batches):
+            yield from batches_of(_READ, ((k, start, bytes(ids)) for k, start, ids in found), 2048)
 
-    tasks = max(1, -(-files.count() // 4))  # the list is a few bytes a file, so its size would not spread it
-    each = files.select("file", "start").repartition(tasks, "file")
-    return each.mapInArrow(read, "id long, start long, ids binary")
+    return _each_file(files).mapInArrow(read, "id long, start long, ids binary")
+
+
+def token_digests(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """Position, number and checksum of every document's ids, taken while the files are read: no ids leave the task."""
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _documents(batches):
+            yield from batches_of(_DIGEST, ((k, start, len(ids) // 4, zlib.crc32(ids)) for k, start, ids in found))
+
+    return _each_file(files).mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokens_of(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -247,17 +272,7 @@ def tokens_of(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-    files = saved(write_tokens(docs, new_folder(spark, "tokens"), tokenizer), "token-list")
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
-        for batch in batches:
-            ids = batch.column(2).to_pylist()
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array([len(b) // 4 for b in ids], pa.int64()),
-                pa.array([zlib.crc32(b) for b in ids], pa.int64())], schema=schema)
-
-    return read_tokens(spark, files).mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return token_digests(spark, saved(write_tokens(docs, new_folder(spark, "tokens"), tokenizer), "token-list"))
 
 
 @query("op10_token_files")
