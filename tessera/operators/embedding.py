@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tessera.functions.hashing import DEFAULT_DIM, hash_embedding
 from tessera.functions.scalars import is_blank, json_or
-from tessera.sources.tables import replace_partitions, require_columns, require_string_columns
+from tessera.sources.tables import among, replace_partitions, require_columns, require_string_columns
 
 HASH_MODEL = "mock"
 PROBE_TEXT = "probe"
@@ -87,7 +87,8 @@ def with_endpoint(df: DataFrame, text: Column, result: str, post: Callable[[dict
 
     ``post(payload, headers)`` sends ``{"input", "model"}`` and returns the decoded
     reply with ``data[i].embedding``. A failed batch leaves its rows without a vector
-    and says why; other batches go on.
+    and says why; other batches go on. The call counts as non-deterministic, so a
+    filter on its result doesn't make Spark send the texts a second time.
     """
     headers = headers or auth_headers()
 
@@ -109,7 +110,7 @@ def with_endpoint(df: DataFrame, text: Column, result: str, post: Callable[[dict
                     errors += [f"{type(exc).__name__}: {exc}"] * len(chunk)
             yield pd.DataFrame({"vector": vectors, "error": errors}, dtype=object)
 
-    return df.withColumn(result, call(text))
+    return df.withColumn(result, call.asNondeterministic()(text))
 
 
 # --- runs --------------------------------------------------------------------------
@@ -146,11 +147,16 @@ def write_back(df: DataFrame, computed: DataFrame, key: str, target: str) -> Dat
 
 def embed_table(df: DataFrame, path: str, partition_col: str, columns: Sequence[str], target: str,
                 encode: Encoder = hash_embedding, separator: str = " ") -> dict:
-    """Incremental run on a stored table: rewrites only partitions with open rows."""
-    open_parts = [r[0] for r in null_target(df, target).select(partition_col).distinct().collect()]
+    """Incremental run on a stored table: rewrites only partitions with open rows.
+
+    ``df`` must spell partition values as the directories do (``tables.stored`` reads
+    them so); otherwise the run fails before it writes.
+    """
+    part = F.col(partition_col).cast("string")
+    open_parts = [r[0] for r in null_target(df, target).select(part).distinct().collect()]
     if not open_parts:
         return {"rows_processed": 0, "status": "no_new_rows"}
-    touched = df.where(F.col(partition_col).isin(open_parts))
+    touched = df.where(among(part, open_parts))
     open_rows = null_target(touched, target).count()
     replace_partitions(embed_incremental(touched, columns, target, encode, separator), path,
                        partition_col, open_parts)

@@ -2,11 +2,18 @@
 
 Layout below one index path::
 
-    centroids/                           part_id, centroid
-    codebooks/                           sub, code, codeword          (IVF_PQ only)
-    postings/gen=G/delta_id=D/part_id=P/ key, row_version, vector, code (IVF_PQ only)
+    model/gen=G/centroids/               part_id, centroid
+    model/gen=G/codebooks/               sub, code, codeword          (IVF_PQ only)
+    postings/gen=G/delta_id=D/part_id=P/ key, row_version, row_file, vector, code (IVF_PQ only)
+    covered/gen=G/delta_id=D/            row_file: the data files a delta has read
     meta/                                one small row per committed change
 
+A data file never changes, so a row is indexed exactly if its file is covered, and a
+posting is dead once its file has left the table. Rows that a delete, merge or
+embedding run rewrote come from new files: they count as unindexed until the next
+optimize, and their old postings are passed over. Only deltas that ``meta`` counts
+are read. A frame that isn't read from files is followed by its versions alone.
+
 IVF_PQ keeps the vector beside the code: a search reads the code column alone,
 and re-ranking reads vectors from the probed partitions instead of the table.
 ``meta`` is appended only after the files it speaks of are complete, and the
@@ -16,11 +23,13 @@ newest row wins, so a lost executor or driver leaves the last good state.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
@@ -37,7 +46,11 @@ from tessera.sources.tables import VERSION
 MODEL_BYTES = 256 << 20
 MODEL_ROWS = 1 << 16
 META_SCHEMA = ("meta_id long, gen long, delta_count long, covered_version long, index_name string, "
-               "column_name string, key_name string, index_type string, metric string, dim int, params string")
+               "column_name string, key_name string, index_type string, metric string, dim int, params string, "
+               "model_gen long")
+ROW_FILE = "row_file"
+# partition folders and name of a data file, the same wherever the table lies
+FILE_NAME = r"((?:[^/=]+=[^/]*/)*[^/]+)$"
 
 
 @dataclass(frozen=True)
@@ -55,6 +68,29 @@ class IndexMeta:
     metric: str
     dim: int
     params: str
+    model_gen: int = 0
+
+
+@dataclass(frozen=True)
+class FileState:
+    """Data files of a table that no delta covers (whole paths), and covered ones that the table no longer has."""
+
+    fresh: list[str]
+    dead: list[str]
+
+
+def reads_files(df: DataFrame) -> bool:
+    try:
+        df.select("_metadata.file_path")
+    except AnalysisException:
+        return False
+    return True
+
+
+def with_files(df: DataFrame) -> DataFrame:
+    """Add the data file of each row; NULL in a frame that isn't read from files."""
+    name = F.regexp_extract("_metadata.file_path", FILE_NAME, 1) if reads_files(df) else F.lit(None).cast("string")
+    return df.withColumn(ROW_FILE, name)
 
 
 # --- model: centroids -----------------------------------------------------------
@@ -227,6 +263,8 @@ class IvfIndex:
         return IndexMeta(**row.asDict())
 
     def _commit(self, meta: IndexMeta) -> IndexMeta:
+        if self.exists() and self.meta().meta_id >= meta.meta_id:
+            raise RuntimeError(f"the index at {self.path} was changed by another run; start again from its new state")
         self.spark.createDataFrame([tuple(asdict(meta).values())], META_SCHEMA).coalesce(1).write.mode(
             "append").parquet(f"{self.path}/meta")
         return meta
@@ -235,13 +273,13 @@ class IvfIndex:
         return path_exists(self.spark, f"{self.path}/meta")
 
     def centroids(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/centroids")
+        return self.spark.read.parquet(f"{self.path}/model/gen={self.meta().model_gen}/centroids")
 
     def codebooks(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/codebooks")
+        return self.spark.read.parquet(f"{self.path}/model/gen={self.meta().model_gen}/codebooks")
 
     def model(self) -> tuple[list[int], np.ndarray]:
-        """Partition ids and centroids on the driver; read once, they never change."""
+        """Partition ids and centroids on the driver; read once, a build changes them and nothing else does."""
         if self._model is None:
             self._model = local_matrix(self.centroids(), "part_id", "centroid")
         return self._model
@@ -252,7 +290,45 @@ class IvfIndex:
         return self._books
 
     def postings(self, meta: IndexMeta | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/postings/gen={(meta or self.meta()).gen}")
+        """Postings of committed deltas; files of a run that died before its commit are not read."""
+        meta = meta or self.meta()
+        return self.spark.read.parquet(f"{self.path}/postings/gen={meta.gen}").where(
+            F.col("delta_id") <= meta.delta_count)
+
+    def covered_files(self, meta: IndexMeta) -> DataFrame:
+        return self.spark.read.schema(f"{ROW_FILE} string, delta_id int").parquet(
+            f"{self.path}/covered/gen={meta.gen}").where(F.col("delta_id") <= meta.delta_count).select(ROW_FILE)
+
+    def _write_covered(self, files: DataFrame, gen: int, delta_id: int) -> None:
+        files.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/covered/gen={gen}/delta_id={delta_id}")
+
+    def file_state(self, table: DataFrame | None, meta: IndexMeta | None = None) -> FileState | None:
+        """How the files of ``table`` and those covered differ; None if either has no files.
+
+        Both are file lists, which the driver holds for any scan of the table.
+        """
+        if table is None or not reads_files(table):
+            return None
+        covered = {r[0] for r in self.covered_files(meta or self.meta()).collect()}
+        live = {re.search(FILE_NAME, uri)[1]: uri for uri in table.inputFiles()}
+        if not covered or not live:
+            return None
+        fresh = {uri for name, uri in live.items() if name not in covered}
+        fresh |= {re.sub("^file:///", "file:/", uri) for uri in fresh}  # as the scan's metadata column spells it
+        return FileState(sorted(fresh), sorted(covered - set(live)))
+
+    def _alive(self, rows: DataFrame, files: FileState | None) -> DataFrame:
+        """Rows whose data file the table still has."""
+        if files is None or not files.dead:
+            return rows
+        dead = self.spark.createDataFrame([(f,) for f in files.dead], f"{ROW_FILE} string")
+        return rows.join(dead, ROW_FILE, "left_anti").select(rows.columns)
+
+    def _unindexed(self, table: DataFrame, meta: IndexMeta, files: FileState | None) -> Column:
+        """Rows no delta covers; a list of file paths, so the scan opens those files only."""
+        if files is not None:
+            return F.col("_metadata.file_path").isin(files.fresh)
+        return F.col(VERSION) > meta.covered_version if VERSION in table.columns else F.lit(False)
 
     # writing
 
@@ -290,7 +366,7 @@ class IvfIndex:
         dim = matrix.shape[1]
         index.spark.createDataFrame([(int(p), c.tolist()) for p, c in zip(part_ids, matrix)],
                                     "part_id int, centroid array<double>").coalesce(1).write.mode(
-            "overwrite").parquet(f"{path}/centroids")
+            "overwrite").parquet(f"{path}/model/gen={gen}/centroids")
         if index_type == "IVF_PQ":
             if codebooks is None:
                 check_sub_vectors(dim, num_sub_vectors or 0)
@@ -301,25 +377,27 @@ class IvfIndex:
             index.spark.createDataFrame(
                 [(m, c, w.tolist()) for m, book in enumerate(index._books) for c, w in enumerate(book)],
                 "sub int, code int, codeword array<double>").coalesce(1).write.mode(
-                "overwrite").parquet(f"{path}/codebooks")
+                "overwrite").parquet(f"{path}/model/gen={gen}/codebooks")
         params = json.dumps({"num_partitions": len(part_ids), "num_sub_vectors": num_sub_vectors}, sort_keys=True)
-        meta = IndexMeta(meta_id, gen, 0, 0, index_name, column, key, index_type, metric, dim, params)
+        meta = IndexMeta(meta_id, gen, 0, 0, index_name, column, key, index_type, metric, dim, params, gen)
         covered = index._write_delta(df, meta, 0)
         index._commit(replace(meta, covered_version=covered))
         return index
 
     def _write_delta(self, df: DataFrame, meta: IndexMeta, delta_id: int) -> int:
         """Write one delta; return the newest version it covers."""
+        df = with_files(df)
         if VERSION not in df.columns:
             df = df.withColumn(VERSION, F.lit(0).cast("long"))
         covered = df.agg(F.max(VERSION)).first()[0]
+        self._write_covered(df.where(F.col(ROW_FILE).isNotNull()).select(ROW_FILE).distinct(), meta.gen, delta_id)
         part_ids, matrix = self.model()
-        rows = assign_partitions(df.select(meta.key_name, VERSION, meta.column_name), meta.column_name,
+        rows = assign_partitions(df.select(meta.key_name, VERSION, ROW_FILE, meta.column_name), meta.column_name,
                                  part_ids, matrix)
         if meta.index_type == "IVF_PQ":
             rows = rows.withColumn("code", encode(residual(meta.column_name, "part_id", part_ids, matrix), self.books()))
         self._write_postings(rows.withColumnRenamed(VERSION, "row_version"), meta.gen, delta_id)
-        return covered if covered is not None else meta.covered_version
+        return meta.covered_version if covered is None else max(covered, meta.covered_version)
 
     def _write_postings(self, rows: DataFrame, gen: int, delta_id: int) -> None:
         """Write postings by partition id.
@@ -333,13 +411,13 @@ class IvfIndex:
              .parquet(f"{self.path}/postings/gen={gen}/delta_id={delta_id}"))
 
     def optimize(self, df: DataFrame) -> int:
-        """Index rows newer than the covered version as one delta; return rows added.
+        """Index rows of files not covered yet as one delta; return rows added.
 
-        Versions are partition values, so the scan opens the new ones only. The
-        covered version is pinned after the append: the optimize itself is no drift.
+        The scan opens the new files only. The covered version is pinned after the
+        append: the optimize itself is no drift.
         """
         meta = self.meta()
-        fresh = df.where(F.col(VERSION) > meta.covered_version)
+        fresh = df.where(self._unindexed(df, meta, self.file_state(df, meta)))
         added = fresh.where(F.col(meta.column_name).isNotNull()).count()
         if added:
             delta_id = meta.delta_count + 1
@@ -347,21 +425,27 @@ class IvfIndex:
             self._commit(replace(meta, meta_id=meta.meta_id + 1, delta_count=delta_id, covered_version=covered))
         return added
 
-    def merge(self) -> int:
-        """Fold all deltas into one generation; return the number folded."""
+    def merge(self, table: DataFrame | None = None) -> int:
+        """Fold all deltas into one generation; return the number folded.
+
+        With ``table``, postings of files that it no longer has are left out.
+        """
         meta = self.meta()
-        if meta.delta_count:
-            self._write_postings(self.postings(meta).drop("delta_id"), meta.gen + 1, 0)
+        files = self.file_state(table, meta)
+        if meta.delta_count or (files is not None and files.dead):
+            self._write_postings(self._alive(self.postings(meta), files).drop("delta_id"), meta.gen + 1, 0)
+            self._write_covered(self._alive(self.covered_files(meta), files), meta.gen + 1, 0)
             self._commit(replace(meta, meta_id=meta.meta_id + 1, gen=meta.gen + 1, delta_count=0))
         return meta.delta_count
 
     def drop_old_generations(self) -> int:
-        """Remove postings of replaced generations, once no search reads them; return how many."""
-        current = self.meta().gen
-        old = [g for g in partition_values(self.spark, f"{self.path}/postings", "gen") if int(g) < current]
-        for gen in old:
-            delete_path(self.spark, f"{self.path}/postings/gen={gen}")
-        return len(old)
+        """Remove replaced generations, once no search reads them; return how many of the postings."""
+        meta, dropped = self.meta(), {}
+        for kind, current in (("model", meta.model_gen), ("covered", meta.gen), ("postings", meta.gen)):
+            dropped[kind] = [g for g in partition_values(self.spark, f"{self.path}/{kind}", "gen") if int(g) < current]
+            for gen in dropped[kind]:
+                delete_path(self.spark, f"{self.path}/{kind}/gen={gen}")
+        return len(dropped["postings"])
 
     # reading
 
@@ -433,8 +517,9 @@ class IvfIndex:
         """Search for one vector; ``(key, _distance)`` in ascending distance.
 
         ``refine_factor`` re-ranks ``refine_factor * k`` candidates by exact distance.
-        Rows of ``table`` newer than the covered version are not in the index yet and
-        are scanned flat, so an append is visible at once.
+        Rows of ``table`` that are not in the index yet are scanned flat, and postings of
+        rows it no longer has are passed over, so appends, deletes and rewritten rows
+        show at once. Without ``table`` the index answers as of its last change.
         """
         meta = self.meta()
         check_k(k)
@@ -442,7 +527,8 @@ class IvfIndex:
         if refine_factor is not None and refine_factor < 1:
             raise ValueError(f"refine_factor must be at least 1, got {refine_factor}")
         want = k * (refine_factor or 1)
-        postings = self.postings(meta)
+        files = self.file_state(table, meta)
+        postings = self._alive(self.postings(meta), files)
         one = QueryBlock([0], T.IntegerType(), [vector])
         hits = self._searcher(meta, postings, "_q", want, nprobes)(one).select(meta.key_name, DISTANCE)
         if refine_factor is not None:
@@ -451,8 +537,8 @@ class IvfIndex:
             candidates = postings.where(F.col("part_id").isin(probed)).join(listed, meta.key_name, "left_semi")
             hits = nearest(candidates, vector, meta.column_name, meta.key_name, k, meta.metric).select(
                 meta.key_name, DISTANCE)
-        if include_unindexed and table is not None and VERSION in table.columns:
-            fresh = table.where(F.col(VERSION) > meta.covered_version)
+        if include_unindexed and table is not None and (files is None or files.fresh):
+            fresh = table.where(self._unindexed(table, meta, files))
             hits = hits.unionByName(
                 nearest(fresh, vector, meta.column_name, meta.key_name, k, meta.metric).select(
                     meta.key_name, DISTANCE))
@@ -461,14 +547,15 @@ class IvfIndex:
     # statistics
 
     def live_stats(self, table: DataFrame) -> DataFrame:
-        """Indexed and unindexed rows and files, newest version; partition pruning splits the two."""
+        """Indexed and unindexed rows and files, newest version."""
         meta = self.meta()
-        version = F.col(VERSION)
+        unindexed = self._unindexed(table, meta, self.file_state(table, meta))
         per_file = table.where(F.col(meta.column_name).isNotNull()).groupBy(
-            F.col("_metadata.file_path").alias("file"), version).agg(F.count(F.lit(1)).alias("n"))
-        covered = version <= meta.covered_version
+            F.col("_metadata.file_path").alias("file"), VERSION, unindexed.alias("unindexed")).agg(
+            F.count(F.lit(1)).alias("n"))
+        covered = ~F.col("unindexed")
         return per_file.agg(
-            F.max(version).alias("latest_version"),
+            F.max(VERSION).alias("latest_version"),
             F.sum(F.when(covered, F.col("n")).otherwise(0)).alias("num_indexed_rows"),
             F.sum(F.when(~covered, F.col("n")).otherwise(0)).alias("num_unindexed_rows"),
             F.count_if(covered).alias("num_indexed_fragments"),
@@ -477,7 +564,8 @@ class IvfIndex:
 
     def unindexed_rows(self, table: DataFrame) -> DataFrame:
         """Rows no delta covers yet."""
-        return table.where(F.col(VERSION) > self.meta().covered_version)
+        meta = self.meta()
+        return table.where(self._unindexed(table, meta, self.file_state(table, meta)))
 
 
 def adc_distance(query_residual: np.ndarray, codes: np.ndarray, books: list[np.ndarray]) -> np.ndarray:

@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tessera.functions.scalars import days_before
-from tessera.sources.paths import delete_path
-from tessera.sources.tables import VERSION, keep_unless, replace_partitions
+from tessera.sources.paths import drop_partitions
+from tessera.sources.tables import VERSION, among, keep_unless, replace_partitions, stored
 
 # Threshold keys that a compaction understands
 COMPACTION_KEYS = ("target_rows_per_fragment", "materialize_deletions")
@@ -39,19 +39,23 @@ def delete_from_table(spark: SparkSession, path: str, partition_col: str, predic
     """Delete in a stored table; return the rows left.
 
     Partitions where every row goes are dropped as directories, those with some
-    victims are rewritten, all others stay untouched.
+    victims are rewritten, all others stay untouched. The predicate sees the
+    partition column with the type Spark infers; which directory a row came from
+    is kept as text beside it, so ``01``, escaped and NULL values are found again.
     """
-    table = spark.read.parquet(path)
+    typed = spark.read.parquet(path).schema[partition_col].dataType
+    table = stored(spark, path, partition_col)
+    table = table.withColumns({"_dir": F.col(partition_col), partition_col: F.col(partition_col).cast(typed)})
     victim = ~keep_unless(predicate)
-    counts = table.groupBy(partition_col).agg(
+    counts = table.groupBy("_dir").agg(
         F.count_if(victim).alias("victims"), F.count(F.lit(1)).alias("total")).collect()
     whole = [r[0] for r in counts if r["victims"] == r["total"]]
     partly = [r[0] for r in counts if 0 < r["victims"] < r["total"]]
     if partly:
-        rest = table.where(F.col(partition_col).isin(partly)).where(keep_unless(predicate))
+        rest = table.where(among(F.col("_dir"), partly)).where(keep_unless(predicate))
+        rest = rest.withColumn(partition_col, F.col("_dir")).drop("_dir")
         replace_partitions(rest, path, partition_col, partly)
-    for value in whole:
-        delete_path(spark, f"{path}/{partition_col}={value}")
+    drop_partitions(spark, path, partition_col, whole)
     return sum(r["total"] - r["victims"] for r in counts)
 
 
@@ -107,13 +111,15 @@ def compact(spark: SparkSession, path: str, partition_col: str, key: str,
     """Merge small files up to ``target_rows_per_fragment`` rows.
 
     Only partitions that hold more files than their rows need are rewritten. Each
-    gets ceil(rows / target) tasks of its own and spreads its rows over them by the
-    hash of ``key``, so a partition with a third of the table is no hot spot. With ``materialize_deletions``
-    the rows matching ``deleted`` are left out.
+    gets ceil(rows / target) tasks of its own and spreads its rows over them by a hash
+    of ``key`` and of each row's place in its file, so neither a partition with a third
+    of the table nor a key with a third of the rows is a hot spot. With
+    ``materialize_deletions`` the rows matching ``deleted`` are left out.
     """
     known, ignored = split_threshold(threshold)
     target = int(known.get("target_rows_per_fragment", 1 << 20))
-    table = spark.read.parquet(path)
+    typed = spark.read.parquet(path).schema[partition_col].dataType
+    table = stored(spark, path, partition_col)
     drop = deleted is not None and bool(known.get("materialize_deletions"))
     before = file_frame(table, partition_col)
     need = F.greatest(F.ceil(F.sum("rows") / target), F.lit(1))
@@ -121,20 +127,22 @@ def compact(spark: SparkSession, path: str, partition_col: str, key: str,
     due = per_part.where("files > need").collect()
     if not due:
         return CompactionReport(0, 0, 0, ignored)
-    slots = {r[0]: r["need"] for r in due}
-    rows = table.where(F.col(partition_col).isin(list(slots)))
-    if drop:
-        rows = rows.where(keep_unless(deleted))
-    # first task and number of tasks per partition value, one entry per partition
-    entries, first = [], 0
-    for value, n in slots.items():
-        entries += [F.lit(value), F.struct(F.lit(first).alias("first"), F.lit(int(n)).alias("n"))]
+    # first task and number of tasks of each partition value
+    slots, first = [], 0
+    for value, _, n in due:
+        slots.append((value, first, int(n)))
         first += int(n)
-    place = F.create_map(*entries)[F.col(partition_col)]
-    target_task = place["first"] + F.pmod(F.xxhash64(key), place["n"]).cast("int")
-    shaped = rows.repartitionById(first, target_task)
-    written = replace_partitions(shaped, path, partition_col, list(slots))
-    after = file_frame(spark.read.parquet(path).where(F.col(partition_col).isin(list(slots))))
+    values = [value for value, _, _ in slots]
+    rows = table.where(among(F.col(partition_col), values)).withColumn(
+        "_spread", F.xxhash64(key, "_metadata.file_name", "_metadata.row_index"))
+    if drop:
+        rows = rows.withColumns({"_dir": F.col(partition_col), partition_col: F.col(partition_col).cast(typed)})
+        rows = rows.where(keep_unless(deleted)).withColumn(partition_col, F.col("_dir"))
+    place = spark.createDataFrame(slots, "_value string, _first int, _n int")
+    placed = rows.join(place, F.col(partition_col).eqNullSafe(F.col("_value")))
+    shaped = placed.repartitionById(first, F.col("_first") + F.pmod("_spread", "_n").cast("int")).select(table.columns)
+    written = replace_partitions(shaped, path, partition_col, values)
+    after = file_frame(stored(spark, path, partition_col).where(among(F.col(partition_col), values)))
     return CompactionReport(sum(r["files"] for r in due), after.count(), written, ignored)
 
 

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
-from tessera.sources.paths import delete_path, make_path, partition_values
+from tessera.sources.paths import NULL_PARTITION, drop_partitions, make_path, partition_dirs, partition_values
 
 VERSION = "ingest_version"
 
@@ -26,6 +26,19 @@ def scan(spark: SparkSession, path: str, columns: Sequence[str] | None = None,
     return df if columns is None else select_columns(df, columns)
 
 
+def stored(spark: SparkSession, path: str, partition_col: str) -> DataFrame:
+    """The table with ``partition_col`` as its directories spell it: ``01`` stays ``'01'`` and is not the number 1."""
+    fields = [T.StructField(f.name, T.StringType() if f.name == partition_col else f.dataType)
+              for f in spark.read.parquet(path).schema]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
+
+
+def among(column: Column, values: Sequence) -> Column:
+    """``column`` is one of ``values``; None among them stands for NULL."""
+    hit = F.coalesce(column.isin([v for v in values if v is not None]), F.lit(False))
+    return hit | column.isNull() if None in values else column.isin(list(values))
+
+
 def select_columns(df: DataFrame, columns: Sequence[str] | None) -> DataFrame:
     """``None`` keeps every column; an unknown name fails before any job starts."""
     if columns is None:
@@ -85,29 +98,44 @@ def replace_partitions(df: DataFrame, path: str, partition_col: str, touched: Se
 
     Dynamic overwrite stages the new files and swaps them in at job commit, so
     ``df`` may read the very partitions it replaces. A touched partition with
-    no row left would survive such a write; it is dropped afterwards.
+    no row left would survive such a write; it is dropped afterwards. ``touched``
+    holds stored values as their directories spell them (None for NULL); a value
+    without a directory is refused before anything is written.
     """
     spark = df.sparkSession
+    replaced = {NULL_PARTITION if v is None else v for v in touched}
+    unknown = sorted(replaced - set(partition_dirs(spark, path, partition_col)))
+    if unknown:
+        raise ValueError(f"no directory of {partition_col} has the values {unknown}; read the table with stored()")
     seen = Observation()
-    observed = df.observe(
+    observed = df.withColumn(partition_col, F.col(partition_col).cast("string")).observe(
         seen,
         F.count(F.lit(1)).alias("rows"),
-        F.collect_set(F.col(partition_col).cast("string")).alias("parts"),
+        F.collect_set(F.coalesce(F.col(partition_col), F.lit(NULL_PARTITION))).alias("parts"),
     )
     (observed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy(partition_col).parquet(path))
     metrics = seen.get
-    kept = set(metrics["parts"])
-    for value in {str(v) for v in touched} - kept:
-        delete_path(spark, f"{path}/{partition_col}={value}")
+    drop_partitions(spark, path, partition_col, replaced - set(metrics["parts"]))
     return metrics["rows"]
 
 
 def merge_rows(old: DataFrame, new: DataFrame, key: str, order_by: str | None = None) -> DataFrame:
-    """Upsert by ``key``: rows of ``new`` win; with ``order_by`` the newest copy per key."""
-    if order_by is not None:
-        newest = F.max_by(F.struct(*new.columns), F.col(order_by))
-        new = new.groupBy(key).agg(newest.alias("_row")).select("_row.*")
+    """Upsert by ``key``, one row per key of ``new``.
+
+    Rows of ``new`` win; with ``order_by`` the newest row per key wins, the stored one
+    included, and at equal order the new one. Copies of equal order within ``new`` are
+    settled by a hash of the row, so a second run chooses alike.
+    """
+    plain = [f.name for f in new.schema if "map<" not in f.dataType.simpleString()]
+    tie = F.xxhash64(*plain)
+    order = tie if order_by is None else F.struct(F.col(order_by), tie)
+    new = new.groupBy(key).agg(F.max_by(F.struct(*new.columns), order).alias("_row")).select("_row.*")
+    if order_by is not None and order_by in old.columns:
+        arriving = new.select(key, F.col(order_by).alias("_arriving"))
+        later = F.col(order_by).isNotNull() & (F.col("_arriving").isNull() | (F.col(order_by) > F.col("_arriving")))
+        overtaken = old.join(arriving, key).where(later).select(key)
+        new = new.join(overtaken, key, "left_anti").select(*new.columns)
     kept = old.join(new.select(key), key, "left_anti").select(*old.columns)
     return kept.unionByName(new, allowMissingColumns=True)
 
@@ -118,15 +146,18 @@ def merge_into(spark: SparkSession, path: str, new: DataFrame, key: str, partiti
 
     A table without data files yet has the schema of ``new``.
     """
-    if not partition_values(spark, path, partition_col):
+    new = new.withColumn(partition_col, F.col(partition_col).cast("string"))
+    here = set(partition_values(spark, path, partition_col))
+    if here:
+        table = stored(spark, path, partition_col)
+    else:
         make_path(spark, path)
         table = spark.read.schema(new.schema).parquet(path)
-    else:
-        table = spark.read.parquet(path)
     holding = table.join(new.select(key), key, "left_semi").select(partition_col)
     touched = [r[0] for r in holding.union(new.select(partition_col)).distinct().collect()]
-    old = table.where(F.col(partition_col).isin(touched))
-    return replace_partitions(merge_rows(old, new, key, order_by), path, partition_col, touched)
+    old = table.where(among(F.col(partition_col), touched))
+    replaced = [v for v in touched if (NULL_PARTITION if v is None else v) in here]
+    return replace_partitions(merge_rows(old, new, key, order_by), path, partition_col, replaced)
 
 
 def drop_seen_batches(batches: DataFrame, checksum: str, order_by: Sequence[str],

@@ -16,8 +16,8 @@ from tessera.functions.scalars import ratio
 from tessera.operators.ivf import IvfIndex
 from tessera.operators.metrics import FINISHED
 from tessera.session import work_path
-from tessera.sources.paths import is_folder
-from tessera.sources.tables import VERSION, merge_into, write_overwrite
+from tessera.sources.paths import is_folder, path_exists
+from tessera.sources.tables import VERSION, latest_version, merge_into
 from tessera.streaming.trail import TRAIL, TaskTrail
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -89,15 +89,33 @@ def embed_on_insert(stream: DataFrame, text: Column, target: str, encode: Callab
 def index_appends(stream: DataFrame, table_path: str, index: IvfIndex, checkpoint: str) -> None:
     """Append each micro-batch as one version and index it as one delta.
 
-    The version is fixed by the batch id and its partition is overwritten, so a
-    replayed batch leaves one copy; the index takes only versions it does not cover.
+    A batch reserves the version above all that the table has, below ``checkpoint``,
+    before it writes; versions that others appended stay as they are and are indexed
+    along. A replayed batch finds its reservation: rows already written stay, half-written
+    ones are replaced, and the index takes only files it does not cover.
     """
     spark = index.spark
-    first = index.meta().covered_version + 1
+
+    def noted(name: str) -> int | None:
+        if not path_exists(spark, name):
+            return None
+        row = spark.read.schema("version long").parquet(name).first()  # none if the note itself was cut short
+        return None if row is None else row[0]
+
+    def note(name: str, version: int) -> None:
+        spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("overwrite").parquet(name)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        version = first + batch_id
-        write_overwrite(batch, f"{table_path}/{VERSION}={version}", partition_by=())
+        notes = f"{checkpoint}/versions/{batch_id}"
+        version = noted(f"{notes}/reserved")
+        again = version is not None
+        if not again:
+            latest = latest_version(spark, table_path)
+            version = max(index.meta().covered_version, -1 if latest is None else latest) + 1
+            note(f"{notes}/reserved", version)
+        if noted(f"{notes}/written") is None:
+            batch.write.mode("overwrite" if again else "error").parquet(f"{table_path}/{VERSION}={version}")
+            note(f"{notes}/written", version)
         index.optimize(spark.read.parquet(table_path))
 
     run_batches(stream, checkpoint, each)
