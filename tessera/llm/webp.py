@@ -565,8 +565,10 @@ def decode(image: bytes) -> np.ndarray:
 
 #: Pieces whose repeats are looked for: clauses, up to a mark, line end or zero byte and what follows of these.
 _PIECE = re.compile(rb"[^.,;:!?\n\0]+[.,;:!?\n\0 ]*|[.,;:!?\n\0 ]+")
-#: Shortest repeat worth a back-reference.
+#: Shortest repeat worth a back-reference; length and distance code end at the other two.
 _REPEAT = 7
+_LONGEST = 4096
+_FARTHEST = (1 << 20) - 120
 
 
 def _prefix_of(value: int) -> tuple[int, int, int]:
@@ -588,12 +590,12 @@ def _repeats(samples: bytes) -> list[tuple[int, int, int]]:
         piece, at = found.group(), found.start()
         earlier = last.get(piece)
         last[piece] = at
-        if earlier is not None and length and at - earlier == back and length < 4000:
+        if earlier is not None and length and at - earlier == back and length + len(piece) <= _LONGEST:
             length += len(piece)
             continue
         if length >= _REPEAT:
             out.append((start, length, back))
-        if earlier is not None and len(piece) <= 4096:
+        if earlier is not None and len(piece) <= _LONGEST and at - earlier <= _FARTHEST:
             start, length, back = at, len(piece), at - earlier
         else:
             length = 0
