@@ -2,32 +2,29 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import query
 from tessera.llm.common import batches_of, given, saved
 
 MAX_GRAM = 5
-#: Size of the model that every task gets: (word, language) and (n-gram, language) rows, most frequent first. Counting
-#: covers all training texts at any size; only the model's table is bounded (about 20 MB in a worker).
-MODEL_WORDS = 60_000
-MODEL_GRAMS = 80_000
-MAX_LANGUAGES = 500
-#: Each step to a shorter n-gram costs as much for every language.
-BACKOFF = math.log(0.4)
+#: Size of the model that every task gets: (word, language) and (n-gram, language) rows. Every language has the same share,
+#: its most frequent rows, and what small ones leave goes to the others. Counting covers all training texts at any size and
+#: every language; only the model's table is bounded (about 40 MB in a worker).
+MODEL_WORDS = 200_000
+MODEL_GRAMS = 200_000
 SMOOTH = 0.5
 #: Words (and n-grams) that a task counts before it passes its counts on.
 FLUSH = 300_000
 #: Unseen words whose scores a task remembers.
-REMEMBERED = 100_000
+REMEMBERED = 200_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -78,11 +75,25 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _flushed(counts)
 
 
+def equal_share(kinds: list[int], most: int) -> int:
+    """Rows that each language may have at most, so that all have ``most`` together; one at least."""
+    left, share = most, 0
+    for i, n in enumerate(sorted(kinds)):
+        share = left // (len(kinds) - i)
+        if n > share:
+            return max(1, share)
+        left -= n
+    return max(1, *kinds, share) if kinds else 1
+
+
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> dict:
-    """A model from all rows with a language: log frequencies of words and of n-grams up to ``MAX_GRAM`` per language.
+    """A model from all rows with a language: how much words, and n-grams up to ``MAX_GRAM``, speak for each language.
 
-    Counts are summed by Spark over every text; the model keeps the ``MODEL_WORDS`` and ``MODEL_GRAMS`` most frequent
-    rows. NULL languages and texts add nothing. No labelled row: a model without languages.
+    Counts are summed by Spark over every text; the model keeps for each language an equal share of ``MODEL_WORDS`` and
+    ``MODEL_GRAMS`` rows, the most frequent ones. An item's value is the logarithm of its frequency over that of an
+    absent item. Counts are first brought to one total per kind of item, the languages' mean, so the same smoothing,
+    vocabulary and total hold for all languages and an absent item costs each the same, however small it is.
+    NULL languages and texts add nothing. No labelled row: a model without languages.
     """
     labelled = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), text_col)
     shape = "lang string, item string, n long"
@@ -93,70 +104,97 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> di
     words = summed(labelled.mapInArrow(_count_words, shape), "lang-words")
     grams = summed(words.mapInArrow(_count_grams, shape), "lang-grams")
 
-    def top(df: DataFrame, limit: int) -> list[tuple[str, str, int]]:
-        found = df.orderBy(F.desc("n"), "lang", "item").limit(limit).select("lang", "item", "n").toArrow()
-        return list(zip(*(found.column(i).to_pylist() for i in range(3))))
-
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    langs = sorted(r.lang for r in totals.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect())
-    sizes = {(r.lang, 0): (r.n, r.kinds) for r in words.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
-             .orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
-    by_order = grams.groupBy("lang", F.length("item").alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
-    sizes |= {(r.lang, r.k): (r.n, r.kinds)
-              for r in by_order.where(F.col("lang").isin(langs)).orderBy("lang", "k").limit(MAX_LANGUAGES * MAX_GRAM).collect()}
+    def sizes_of(df: DataFrame, order) -> dict[tuple[str, int], tuple[int, int]]:
+        found = df.groupBy("lang", order.alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
+        return {(r.lang, r.k): (r.n, r.kinds) for r in found.collect()}
+
+    word_sizes, gram_sizes = sizes_of(words, F.lit(0)), sizes_of(grams, F.length("item"))
+    langs = sorted({lang for lang, _ in word_sizes})
     place = {lang: i for i, lang in enumerate(langs)}
 
-    def table(rows: list, order) -> tuple[dict[str, int], np.ndarray]:
+    def table(df: DataFrame, sizes: dict, limit: int, order) -> tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray]:
+        kinds = Counter()
+        for (lang, _), (_, k) in sizes.items():
+            kinds[lang] += k
+        if sum(kinds.values()) > limit:
+            rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "item"))
+            df = df.withColumn("rank", rank).where(F.col("rank") <= equal_share(list(kinds.values()), limit))
+        found = df.select("lang", "item", "n").toArrow()
+        items, said = found.column("item").to_pylist(), found.column("lang").to_pylist()
         index: dict[str, int] = {}
-        for lang, item, _ in rows:
-            if lang in place:
-                index.setdefault(item, len(index))
-        size = {k: np.array([sizes.get((lang, k), (0, 0)) for lang in langs], float).reshape(-1, 2)
-                for k in {order(i) for i in index}}
-        floor = {k: np.log(SMOOTH / (s[:, 0] + SMOOTH * (s[:, 1] + 1))) for k, s in size.items()}
-        out = np.array([floor[order(i)] for i in index], np.float32).reshape(len(index), len(langs))
-        for lang, item, count in rows:
-            if lang in place:
-                n, kinds = size[order(item)][place[lang]]
-                out[index[item], place[lang]] = math.log((count + SMOOTH) / (n + SMOOTH * (kinds + 1)))
-        return index, out
-
-    return {"langs": langs, "words": table(top(words, MODEL_WORDS), lambda item: 0),
-            "grams": table(top(grams, MODEL_GRAMS), len)}
+        row = np.array([index.setdefault(item, len(index)) for item in items], np.int64)
+        lang = np.array([place[x] for x in said], np.int32)
+        mean = {k: sum(n for (_, o), (n, _) in sizes.items() if o == k) / len(langs) for k in {o for _, o in sizes}}
+        scale = {key: mean[key[1]] / n for key, (n, _) in sizes.items()}
+        count = found.column("n").to_numpy() * np.array([scale[x, order(item)] for x, item in zip(said, items)])
+        by_row = np.lexsort((lang, row))
+        start = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(index)))])
+        return index, start, lang[by_row], np.log1p(count[by_row] / SMOOTH).astype(np.float32)
+
+    return {"langs": langs, "words": table(words, word_sizes, MODEL_WORDS, lambda item: 0),
+            "grams": table(grams, gram_sizes, MODEL_GRAMS, len)}
+
+
+def _entries(start: np.ndarray, rows) -> np.ndarray:
+    """Places of the entries of ``rows``, one row after the other."""
+    rows = np.asarray(rows, np.int64)
+    low = start[rows]
+    n = start[rows + 1] - low
+    return np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
 class Scorer:
-    """Scores of words per language; scores of unseen words are remembered up to a bound."""
+    """Scores of words per language; scores of unseen words are remembered up to a bound.
+
+    Only languages in which an item is known have an entry for it, so the tables don't grow with languages times items.
+    """
 
     def __init__(self, model: dict):
         self.langs = model["langs"]
-        self.index, rows = dict(model["words"][0]), model["words"][1]
-        self.grams, self.gram_rows = model["grams"]
-        self.known = len(rows)
-        self.rows = np.vstack([rows, np.zeros((REMEMBERED, len(self.langs)), np.float32)])
+        index, start, lang, value = model["words"]
+        self.index, self.known, self.known_entries = dict(index), len(index), len(lang)
+        self.grams, self.gram_start, self.gram_lang, self.gram_value = model["grams"]
+        self.start = np.concatenate([start, np.zeros(REMEMBERED, np.int64)])
+        self.lang = np.concatenate([lang, np.zeros(4 * REMEMBERED, np.int32)])
+        self.value = np.concatenate([value, np.zeros(4 * REMEMBERED, np.float32)])
         self.used = self.known
 
     def unseen(self, word: str) -> np.ndarray:
+        """Mean value per language of the word's longest known n-grams."""
         for n in range(MAX_GRAM, 0, -1):
             found = [self.grams[g] for g in grams_of(word, n) if g in self.grams]
             if found:
-                return self.gram_rows[found].mean(axis=0) + BACKOFF * (MAX_GRAM + 1 - n)
-        return np.zeros(len(self.langs), np.float32)
+                at = _entries(self.gram_start, found)
+                return np.bincount(self.gram_lang[at], self.gram_value[at], len(self.langs)) / len(found)
+        return np.zeros(len(self.langs))
+
+    def remember(self, word: str) -> None:
+        score = self.unseen(word)
+        some = np.flatnonzero(score)
+        low = self.start[self.used]
+        high = low + len(some)
+        if high > len(self.lang):
+            self.lang = np.concatenate([self.lang, np.zeros(high, np.int32)])
+            self.value = np.concatenate([self.value, np.zeros(high, np.float32)])
+        self.lang[low:high], self.value[low:high] = some, score[some]
+        self.index[word] = self.used
+        self.used += 1
+        self.start[self.used] = high
 
     def score(self, words: list[str]) -> np.ndarray:
-        """Mean log score per language of a non-empty list of words."""
+        """Mean score per language of a non-empty list of words."""
         total = np.zeros(len(self.langs))
         for at in range(0, len(words), 50_000):
             part = words[at:at + 50_000]
-            if self.used + len(part) > len(self.rows):
+            full = self.start[self.used] > self.known_entries + 4 * REMEMBERED
+            if full or self.used + len(part) > self.known + REMEMBERED:
                 self.index = {w: i for w, i in self.index.items() if i < self.known}
                 self.used = self.known
             index = self.index
             for word in set(part).difference(index):
-                self.rows[self.used] = self.unseen(word)
-                index[word] = self.used
-                self.used += 1
-            total += self.rows[[index[w] for w in part]].sum(axis=0, dtype=float)
+                self.remember(word)
+            found = _entries(self.start, [index[w] for w in part])
+            total += np.bincount(self.lang[found], self.value[found], len(self.langs))
         return total / len(words)
 
     def best(self, words: list[str]) -> tuple[str, float]:
@@ -172,8 +210,8 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text", keep: list[st
     """The columns ``keep`` of ``docs`` (all if None) and ``lang_pred``, ``score``.
 
     ``lang_pred`` is the language of the highest mean word score, ``score`` its share after exponentiation (0 to 1).
-    A known word scores its log frequency per language, any other the mean log frequency of its longest n-grams that
-    the model knows, less a step per shorter length. No letter, NULL or empty text, or a model without languages:
+    A known word scores its value per language (:func:`train`), any other the mean value of its longest n-grams that
+    the model knows; what it costs to be absent is the same for all languages and drops out. No letter, NULL or empty text, or a model without languages:
     ``und`` and 0. Ties: the language first by name. Own ``lang_pred``/``score`` columns of ``docs`` are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the model's limits
