@@ -21,7 +21,7 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 MODULES = ("warc", "media", "line_dedup", "licenses", "decontaminate", "langid", "mixing", "jaccard", "html_text",
-           "token_files")
+           "token_files", "whitening", "url_filter", "prefix_trie")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
