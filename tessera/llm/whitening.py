@@ -231,8 +231,7 @@ def _whitened(shared, id_name: str):
                 continue
             rows, x = usable[len(sums)]
             y = _centred(usable, mean) @ scaled
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, y.size + 1, max(y.shape[1], 1), dtype=np.int32)),
-                                             pa.array(y.ravel()))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1, dtype=np.int32) * y.shape[1]), pa.array(y.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), _deviations(x, n, sums), lists],
                                              names=[id_name, "deviation", "whitened"])
     return run
