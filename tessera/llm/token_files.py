@@ -22,7 +22,7 @@ END_ID = 2
 #: A file is closed when it holds so many ids, so a task's memory is bounded whatever its share of the documents.
 FILE_IDS = 1_000_000
 #: Byte strings whose ids a task remembers.
-REMEMBERED = 150_000
+REMEMBERED = 200_000
 
 MAGIC = b"TOKF0001"
 
@@ -59,11 +59,12 @@ def file_bytes(keys: list[int | None], sizes: np.ndarray, ids: np.ndarray) -> by
 
     Ids are stored as their place in the frequency list (ties: smaller id first), so the 256 commonest take one byte.
     """
-    kinds, code, n = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.lexsort((kinds, -n))
-    place = np.empty(len(kinds), np.uint32)
-    place[order] = np.arange(len(kinds), dtype=np.uint32)
-    control, data = pack(place[code])
+    n = np.bincount(ids)  # ids are below the vocabulary's size
+    kinds = np.flatnonzero(n)
+    order = np.lexsort((kinds, -n[kinds]))
+    place = np.zeros(len(n), np.uint32)
+    place[kinds[order]] = np.arange(len(kinds), dtype=np.uint32)
+    control, data = pack(place[ids])
     known = np.array([k is not None for k in keys], np.uint8)
     numbers = np.array([0 if k is None else k for k in keys], "<i8")
     parts = [kinds[order].astype("<u4").tobytes(), known.tobytes(), numbers.tobytes(), sizes.astype("<u4").tobytes(), control, data]
@@ -105,6 +106,25 @@ def _plain_pattern() -> re.Pattern:
                       rf"|[{blank}]+(?![^{blank}])|[{blank}]+")
 
 
+class _Pieces(dict):
+    """Ids of pieces, found when first asked for. The latest ``REMEMBERED`` and those of the generation before are kept."""
+
+    def __init__(self, find):
+        super().__init__()
+        self.find, self.before = find, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = self.find(piece)
+        if len(piece) < 64:
+            if len(self) >= REMEMBERED:
+                self.before = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Ids of whole texts as the tokenizers library gives them, as little-endian bytes.
 
@@ -124,39 +144,23 @@ class Encoder:
         before = self.tokenizer.pre_tokenizer
         self.by_piece = (isinstance(before, ByteLevel) and before.use_regex and not before.add_prefix_space
                          and self.tokenizer.normalizer is None)
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([f"[^\0-{chr(_PLAIN_END - 1)}]", *map(re.escape, added)]))
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.beyond = re.compile(f"[^\0-{chr(_PLAIN_END - 1)}]")
         self.pieces = _plain_pattern()
         #: The byte alphabet: printable Latin-1 characters stand for themselves, the other bytes for U+0100 and up.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = [b for b in range(256) if b not in plain]
         self.alphabet = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
-        self.known: dict[str, bytes] = {}
+        self.known = _Pieces(self.piece)
 
     def piece(self, text: str) -> bytes:
         found = self.model.tokenize(text.encode().decode("latin-1").translate(self.alphabet))
         return np.array([t.id for t in found], self.kind).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if not self.by_piece or self.whole.search(text):
+        if not self.by_piece or any(a in text for a in self.added) or (not text.isascii() and self.beyond.search(text)):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-        known = self.known
-        pieces = self.pieces.findall(text)
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            pass
-        if len(known) > REMEMBERED:
-            known.clear()
-        out = []
-        for p in pieces:
-            ids = known.get(p)
-            if ids is None:
-                ids = self.piece(p)
-                if len(p) < 64:
-                    known[p] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.known.__getitem__, self.pieces.findall(text)))
 
 
 @lru_cache(maxsize=1)
