@@ -9,12 +9,14 @@ import json
 import struct
 import zlib
 from collections.abc import Iterator
+from decimal import Decimal
 from functools import lru_cache
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tessera.llm import query
 from tessera.llm.common import NO_ID, batch_of, filesystem, given, id_or_none, new_file, new_folder, saved
@@ -72,16 +74,32 @@ def parse_record(member: bytes) -> dict:
     }
 
 
+#: Characters that part lines and fields of the index, and how a key spells them.
+_ESCAPES = str.maketrans({"\0": "%00", "\t": "%09", "\n": "%0A", "\r": "%0D"})
+
+
 def url_key(url: str | None) -> str:
-    """Sortable key of a URL: host labels in reverse order, then port, path and query; no scheme, user or fragment."""
+    """Sortable key of a URL: host labels in reverse order, then port, path and query; no scheme, user or fragment.
+
+    A URL that can't be split is its own key in lower case. No key holds a control character of the index.
+    """
+    return _key_of(url or "").translate(_ESCAPES)
+
+
+def _key_of(url: str) -> str:
     try:
-        parts = urlsplit(url or "")
+        parts = urlsplit(url)
         host, port = (parts.hostname or ""), parts.port
     except ValueError:
-        return (url or "").lower()
+        return url.lower()
     labels = ",".join(reversed([x for x in host.split(".") if x]))
     place = (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
-    return f"{labels}{f':{port}' if port else ''}){place}".replace("\n", "%0A").replace("\t", "%09")
+    return f"{labels}{f':{port}' if port else ''}){place}"
+
+
+@F.arrow_udf(StringType())
+def url_keys(urls: pa.Array) -> pa.Array:
+    return pa.array([url_key(u) for u in urls.to_pylist()], pa.string())
 
 
 # Writing ---------------------------------------------------------------------------------------------------------------
@@ -142,9 +160,15 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: st
 _SHARDS = pa.schema([("first", pa.string()), ("last", pa.string()), ("file", pa.string()), ("lines", pa.int64())])
 
 
-def _sort_key(key: str, page: int | None) -> str:
-    """Keys first, then pages in number order (a NULL page is below all)."""
-    return f"{key}\t{(NO_ID if page is None else page) + 2**63:020d}"
+def _sort_key(key: str, page: int) -> str:
+    """Keys first, then pages in number order."""
+    return f"{key}\t{page + 2**63:020d}"
+
+
+def sort_key(key: Column, page: Column) -> Column:
+    """:func:`_sort_key` as an expression; a NULL page is below all."""
+    number = id_or_none(page).cast("decimal(20,0)") + F.lit(Decimal(2**63))
+    return F.concat(key, F.lit("\t"), F.lpad(number.cast("string"), 20, "0"))
 
 
 def _write_index(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
@@ -193,9 +217,11 @@ def build_index(captures: DataFrame, folder: str) -> DataFrame:
 
     Spark range-partitions and sorts the captures; a host with a third of all pages is cut by path and page. The
     upper level is this list (``first``, ``last``, ``file``, ``lines``), the lower level each file's block directory.
+
+    A NULL page id sorts below all ids of its key. Captures of one key and page: a line each, by archive and place.
+    Control characters in a URL are spelt out in its key. Very long URLs: a line of that length. No captures: no files.
     """
-    sort = F.udf(_sort_key, "string")  # runs on ids and keys only
-    rows = captures.select(sort("key", "page").alias("sort"), "file", "start", "length")
+    rows = captures.select(sort_key(F.col("key"), F.col("page")).alias("sort"), "file", "start", "length")
     rows = rows.repartitionByRange("sort", "file", "start").sortWithinPartitions("sort", "file", "start")
     return saved(rows.mapInArrow(lambda b: _write_index(b, folder), "first string, last string, file string, lines long"), "shards")
 
@@ -242,14 +268,17 @@ def lookup(spark: SparkSession, shards: DataFrame, queries: DataFrame, url_col:
     The list of files is held by every task: ``BLOCK_LINES * FILE_BLOCKS`` captures make one row of it.
     Returns ``key``, ``page``, ``type``, ``digest``, ``payload_bytes``, ``refers_to``, ``payload`` and ``intact``: whether
     a response's payload has the recorded size and digest (true for revisits, which hold none).
+
+    NULL url: the captures without a URL. NULL page id, where ids are asked for: captures without an id. Queries asked
+    several times are answered once; captures of one key and page are all returned. Unknown URLs: no rows. No queries or
+    an empty index: no rows. Other columns of ``queries`` are not looked at.
     """
     listed = shards.collect()
     files = sorted((r.first, r.last, r.file) for r in listed)
     tasks = max(1, sum(r.lines for r in listed) // (10 * BLOCK_LINES))  # a query is few bytes, a record is not
     highest = [f[1] for f in files]
-    key = F.udf(url_key, "string")
     page = id_or_none(F.col(page_col)) if page_col else F.lit(None).cast("long")
-    asked = queries.select(key(F.col(url_col)).alias("key"), page.alias("page")).distinct()
+    asked = queries.select(url_keys(F.col(url_col)).alias("key"), page.alias("page")).distinct()
     asked = asked.repartitionByRange(tasks, "key", "page").sortWithinPartitions("key", "page")
     schema = pa.schema([("key", pa.string()), ("page", pa.int64()), ("type", pa.string()), ("digest", pa.string()),
                         ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("intact", pa.bool_())])
