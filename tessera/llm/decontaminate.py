@@ -99,7 +99,7 @@ def _tables(folder: str, block: int) -> list[WuManber]:
 def _search(batches: Iterator[pa.RecordBatch], folder: str, blocks: list[int], shape: pa.Schema) -> Iterator[pa.RecordBatch]:
     def flush(group: list[pa.RecordBatch]) -> pa.Table:
         table = pa.Table.from_batches(group)
-        docs = [words_of(t) for t in binary_values(table.column("_text").combine_chunks())]
+        docs = [words_of(t) for t in binary_values(table.column(table.num_columns - 1).combine_chunks())]  # the text comes last
         hit = [bytearray(len(d)) for d in docs]
         items: list[set[str]] = [set() for _ in docs]
         for block in blocks:
@@ -109,7 +109,7 @@ def _search(batches: Iterator[pa.RecordBatch], folder: str, blocks: list[int], s
                     for start, found in search.search(words):
                         marks[start:start + search.length] = ones
                         named.update(found)
-        table = table.drop_columns(["_text"])
+        table = table.remove_column(table.num_columns - 1)
         for name, values in (("n_words", [len(d) for d in docs]), ("n_hit", [sum(h) for h in hit]), ("items", [sorted(s) for s in items])):
             table = table.append_column(name, pa.array(values, shape.field(name).type))
         return table
@@ -152,7 +152,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
     added = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string()))])
     kept = docs.drop(*added.names)
     shape = StructType(list(kept.schema)).add("n_words", "long").add("n_hit", "long").add("items", ArrayType(StringType()))
-    rows = docs.select(*[F.col(c) for c in kept.columns], F.col(text_col).alias("_text"))
+    name = "_text" + "_" * max(map(len, docs.columns))  # longer than any column's name
+    rows = docs.select(*[F.col(c) for c in kept.columns], F.col(text_col).alias(name))
     return rows.mapInArrow(lambda b: _search(b, folder, blocks, added), shape)
 
 

@@ -70,6 +70,22 @@ def test_archives_keep_payloads_and_all_captures_of_a_url(spark):
     assert sorted(r.page for r in every if not r.payload_bytes) == [5, 6]
 
 
+def test_archives_find_urls_with_control_characters(spark):
+    urls = ["http://[bad\nx", "http://[bad\tx", "http://[bad\0x", "http://a.b/\0\n\t\r", "http://a.b/c\0", "\0", "\n", "", None]
+    pages = spark.createDataFrame([(i, u, f"text {i}") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    for some in [pages] + [pages.where(f"page_id = {i}") for i in (0, 2, 5)]:
+        shards = warc.build_index(warc.write_archives(some, new_folder(spark, "a")), new_folder(spark, "i"))
+        found = warc.lookup(spark, shards, some, "url", "page_id").collect()
+        assert sorted((r.page, bytes(r.payload)) for r in found) == sorted((r.page_id, r.html.encode()) for r in some.collect())
+
+
+def test_contamination_of_a_table_with_any_column_names(spark):
+    given = spark.createDataFrame([(1, "some words here", "own", 5)], "doc_id long, text string, _text string, _text_ int")
+    bench = spark.createDataFrame([(1, "some words here")], "item_id int, text string")
+    got = decontaminate.contamination(given, bench).first()
+    assert (got._text, got._text_, got.n_hit) == ("own", 5, 3)
+
+
 def test_frames_without_an_article_lose_repeated_runs(spark):
     note = "we use small files on this site to remember what you chose when you came last"
     pages = [(i, "http://h.example/%d" % i, f"<body><div>{note}</div><p>page {i} tells of thing number {i} and of nothing else at all &amp; ends</p>")
