@@ -8,28 +8,20 @@ Layout below one index path::
     covered/gen=G/delta_id=D/            row_file: the data files a delta has read
     meta/                                one small row per committed change
 
-A data file never changes, so a row is indexed exactly if its file is covered, and a
-posting is dead once its file has left the table. Rows that a delete, merge or
-embedding run rewrote come from new files: they count as unindexed until the next
-optimize, and their old postings are passed over. Only deltas that ``meta`` counts
-are read. A frame that isn't read from files is followed by its versions alone.
+Deltas follow the table's data files as in :mod:`tessera.operators.stored_index`.
 
 IVF_PQ keeps the vector beside the code: a search reads the code column alone,
 and re-ranking reads vectors from the probed partitions instead of the table.
-``meta`` is appended only after the files it speaks of are complete, and the
-newest row wins, so a lost executor or driver leaves the last good state.
 """
 
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Callable, Sequence
-from dataclasses import asdict, dataclass, replace
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
@@ -38,61 +30,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tessera.functions.vectors import matrix_of, row_distance
 from tessera.operators.search import (DISTANCE, K_DEFAULT, QueryBlock, TopK, check_dimension, check_k,
                                       nearest, per_block, scan_topk, short_list)
+from tessera.operators.stored_index import (FILE_NAME, META_SCHEMA, ROW_FILE, FileState, IndexMeta, StoredIndex,  # noqa: F401
+                                            reads_files, with_files)
 from tessera.session import work_path
-from tessera.sources.paths import delete_path, partition_values, path_exists
 from tessera.sources.tables import VERSION
 
 # Centroids and codebooks are copied to every task; their size is checked against this.
 MODEL_BYTES = 256 << 20
 MODEL_ROWS = 1 << 16
-META_SCHEMA = ("meta_id long, gen long, delta_count long, covered_version long, index_name string, "
-               "column_name string, key_name string, index_type string, metric string, dim int, params string, "
-               "model_gen long")
-ROW_FILE = "row_file"
-# partition folders and name of a data file, the same wherever the table lies
-FILE_NAME = r"((?:[^/=]+=[^/]*/)*[^/]+)$"
-
-
-@dataclass(frozen=True)
-class IndexMeta:
-    """State of an index after its latest committed change."""
-
-    meta_id: int
-    gen: int
-    delta_count: int
-    covered_version: int
-    index_name: str
-    column_name: str
-    key_name: str
-    index_type: str
-    metric: str
-    dim: int
-    params: str
-    model_gen: int = 0
-
-
-@dataclass(frozen=True)
-class FileState:
-    """Data files of a table that no delta covers (whole paths), and covered ones that the table no longer has."""
-
-    fresh: list[str]
-    dead: list[str]
-
-
-def reads_files(df: DataFrame) -> bool:
-    try:
-        df.select("_metadata.file_path")
-    except AnalysisException:
-        return False
-    return True
-
-
-def with_files(df: DataFrame) -> DataFrame:
-    """Add the data file of each row; NULL in a frame that isn't read from files."""
-    name = F.regexp_extract("_metadata.file_path", FILE_NAME, 1) if reads_files(df) else F.lit(None).cast("string")
-    return df.withColumn(ROW_FILE, name)
-
-
 # --- model: centroids -----------------------------------------------------------
 
 def train_centroids(df: DataFrame, column: str, num_partitions: int, seed: int = 42,
@@ -246,32 +191,16 @@ def encode(column: str | Column, books: list[np.ndarray]) -> Column:
 
 # --- the stored index ---------------------------------------------------------------
 
-class IvfIndex:
+class IvfIndex(StoredIndex):
     """An index stored below ``path``; open it with the session that reads it."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        super().__init__(spark, path)
         self._model: tuple[list[int], np.ndarray] | None = None
         self._books: list[np.ndarray] | None = None
 
     # state
 
-    def meta(self) -> IndexMeta:
-        row = self.spark.read.schema(META_SCHEMA).parquet(f"{self.path}/meta").orderBy(F.desc("meta_id")).first()
-        if row is None:
-            raise ValueError(f"no index at {self.path}")
-        return IndexMeta(**row.asDict())
-
-    def _commit(self, meta: IndexMeta) -> IndexMeta:
-        if self.exists() and self.meta().meta_id >= meta.meta_id:
-            raise RuntimeError(f"the index at {self.path} was changed by another run; start again from its new state")
-        self.spark.createDataFrame([tuple(asdict(meta).values())], META_SCHEMA).coalesce(1).write.mode(
-            "append").parquet(f"{self.path}/meta")
-        return meta
-
-    def exists(self) -> bool:
-        return path_exists(self.spark, f"{self.path}/meta")
-
     def centroids(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/model/gen={self.meta().model_gen}/centroids")
 
@@ -289,47 +218,6 @@ class IvfIndex:
             self._books = local_codebooks(self.codebooks())
         return self._books
 
-    def postings(self, meta: IndexMeta | None = None) -> DataFrame:
-        """Postings of committed deltas; files of a run that died before its commit are not read."""
-        meta = meta or self.meta()
-        return self.spark.read.parquet(f"{self.path}/postings/gen={meta.gen}").where(
-            F.col("delta_id") <= meta.delta_count)
-
-    def covered_files(self, meta: IndexMeta) -> DataFrame:
-        return self.spark.read.schema(f"{ROW_FILE} string, delta_id int").parquet(
-            f"{self.path}/covered/gen={meta.gen}").where(F.col("delta_id") <= meta.delta_count).select(ROW_FILE)
-
-    def _write_covered(self, files: DataFrame, gen: int, delta_id: int) -> None:
-        files.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/covered/gen={gen}/delta_id={delta_id}")
-
-    def file_state(self, table: DataFrame | None, meta: IndexMeta | None = None) -> FileState | None:
-        """How the files of ``table`` and those covered differ; None if either has no files.
-
-        Both are file lists, which the driver holds for any scan of the table.
-        """
-        if table is None or not reads_files(table):
-            return None
-        covered = {r[0] for r in self.covered_files(meta or self.meta()).collect()}
-        live = {re.search(FILE_NAME, uri)[1]: uri for uri in table.inputFiles()}
-        if not covered or not live:
-            return None
-        fresh = {uri for name, uri in live.items() if name not in covered}
-        fresh |= {re.sub("^file:///", "file:/", uri) for uri in fresh}  # as the scan's metadata column spells it
-        return FileState(sorted(fresh), sorted(covered - set(live)))
-
-    def _alive(self, rows: DataFrame, files: FileState | None) -> DataFrame:
-        """Rows whose data file the table still has."""
-        if files is None or not files.dead:
-            return rows
-        dead = self.spark.createDataFrame([(f,) for f in files.dead], f"{ROW_FILE} string")
-        return rows.join(dead, ROW_FILE, "left_anti").select(rows.columns)
-
-    def _unindexed(self, table: DataFrame, meta: IndexMeta, files: FileState | None) -> Column:
-        """Rows no delta covers; a list of file paths, so the scan opens those files only."""
-        if files is not None:
-            return F.col("_metadata.file_path").isin(files.fresh)
-        return F.col(VERSION) > meta.covered_version if VERSION in table.columns else F.lit(False)
-
     # writing
 
     @classmethod
@@ -344,12 +232,7 @@ class IvfIndex:
         on, which is worth doing on very large tables; every row is indexed regardless.
         """
         index = cls(df.sparkSession, path)
-        gen, meta_id = 0, 0
-        if index.exists():
-            if not replace_existing:
-                raise ValueError(f"index already exists at {path}")
-            old = index.meta()
-            gen, meta_id = old.gen + 1, old.meta_id + 1
+        gen, meta_id = index._next(replace_existing)
         if index_type not in ("IVF_FLAT", "IVF_PQ"):
             raise ValueError(f"vector index type must be IVF_FLAT or IVF_PQ, got {index_type!r}")
         if index_type == "IVF_PQ" and metric != "l2":
@@ -380,24 +263,27 @@ class IvfIndex:
                 "overwrite").parquet(f"{path}/model/gen={gen}/codebooks")
         params = json.dumps({"num_partitions": len(part_ids), "num_sub_vectors": num_sub_vectors}, sort_keys=True)
         meta = IndexMeta(meta_id, gen, 0, 0, index_name, column, key, index_type, metric, dim, params, gen)
-        covered = index._write_delta(df, meta, 0)
+        _, covered = index._write_delta(df, meta, 0)
         index._commit(replace(meta, covered_version=covered))
         return index
 
-    def _write_delta(self, df: DataFrame, meta: IndexMeta, delta_id: int) -> int:
-        """Write one delta; return the newest version it covers."""
+    def _write_delta(self, df: DataFrame, meta: IndexMeta, delta_id: int,
+                     files: FileState | None = None) -> tuple[int, int]:
+        """One scan reads the vectors; the newest version needs its column alone, and rows are counted in what was written."""
         df = with_files(df)
         if VERSION not in df.columns:
             df = df.withColumn(VERSION, F.lit(0).cast("long"))
-        covered = df.agg(F.max(VERSION)).first()[0]
-        self._write_covered(df.where(F.col(ROW_FILE).isNotNull()).select(ROW_FILE).distinct(), meta.gen, delta_id)
+        newest = df.agg(F.max(VERSION)).first()[0]
+        self._note_covered(df, meta, delta_id, files)
         part_ids, matrix = self.model()
         rows = assign_partitions(df.select(meta.key_name, VERSION, ROW_FILE, meta.column_name), meta.column_name,
                                  part_ids, matrix)
         if meta.index_type == "IVF_PQ":
             rows = rows.withColumn("code", encode(residual(meta.column_name, "part_id", part_ids, matrix), self.books()))
-        self._write_postings(rows.withColumnRenamed(VERSION, "row_version"), meta.gen, delta_id)
-        return meta.covered_version if covered is None else max(covered, meta.covered_version)
+        self._write_postings(rows.withColumn(VERSION, F.col(VERSION).cast("long")).withColumnRenamed(VERSION, "row_version"), meta.gen, delta_id)
+        added = self.spark.read.schema("row_version long").parquet(
+            f"{self.path}/postings/gen={meta.gen}/delta_id={delta_id}").count()
+        return added, meta.covered_version if newest is None else max(newest, meta.covered_version)
 
     def _write_postings(self, rows: DataFrame, gen: int, delta_id: int) -> None:
         """Write postings by partition id.
@@ -410,43 +296,6 @@ class IvfIndex:
              .write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("part_id")
              .parquet(f"{self.path}/postings/gen={gen}/delta_id={delta_id}"))
 
-    def optimize(self, df: DataFrame) -> int:
-        """Index rows of files not covered yet as one delta; return rows added.
-
-        The scan opens the new files only. The covered version is pinned after the
-        append: the optimize itself is no drift.
-        """
-        meta = self.meta()
-        fresh = df.where(self._unindexed(df, meta, self.file_state(df, meta)))
-        added = fresh.where(F.col(meta.column_name).isNotNull()).count()
-        if added:
-            delta_id = meta.delta_count + 1
-            covered = self._write_delta(fresh, meta, delta_id)
-            self._commit(replace(meta, meta_id=meta.meta_id + 1, delta_count=delta_id, covered_version=covered))
-        return added
-
-    def merge(self, table: DataFrame | None = None) -> int:
-        """Fold all deltas into one generation; return the number folded.
-
-        With ``table``, postings of files that it no longer has are left out.
-        """
-        meta = self.meta()
-        files = self.file_state(table, meta)
-        if meta.delta_count or (files is not None and files.dead):
-            self._write_postings(self._alive(self.postings(meta), files).drop("delta_id"), meta.gen + 1, 0)
-            self._write_covered(self._alive(self.covered_files(meta), files), meta.gen + 1, 0)
-            self._commit(replace(meta, meta_id=meta.meta_id + 1, gen=meta.gen + 1, delta_count=0))
-        return meta.delta_count
-
-    def drop_old_generations(self) -> int:
-        """Remove replaced generations, once no search reads them; return how many of the postings."""
-        meta, dropped = self.meta(), {}
-        for kind, current in (("model", meta.model_gen), ("covered", meta.gen), ("postings", meta.gen)):
-            dropped[kind] = [g for g in partition_values(self.spark, f"{self.path}/{kind}", "gen") if int(g) < current]
-            for gen in dropped[kind]:
-                delete_path(self.spark, f"{self.path}/{kind}/gen={gen}")
-        return len(dropped["postings"])
-
     # reading
 
     def probes(self, vectors: np.ndarray, nprobes: int) -> np.ndarray:
@@ -544,30 +393,6 @@ class IvfIndex:
                     meta.key_name, DISTANCE))
         return hits.orderBy(DISTANCE, meta.key_name).limit(k)
 
-    # statistics
-
-    def live_stats(self, table: DataFrame) -> DataFrame:
-        """Indexed and unindexed rows and files, newest version."""
-        meta = self.meta()
-        unindexed = self._unindexed(table, meta, self.file_state(table, meta))
-        per_file = table.where(F.col(meta.column_name).isNotNull()).groupBy(
-            F.col("_metadata.file_path").alias("file"), VERSION, unindexed.alias("unindexed")).agg(
-            F.count(F.lit(1)).alias("n"))
-        covered = ~F.col("unindexed")
-        return per_file.agg(
-            F.max(VERSION).alias("latest_version"),
-            F.sum(F.when(covered, F.col("n")).otherwise(0)).alias("num_indexed_rows"),
-            F.sum(F.when(~covered, F.col("n")).otherwise(0)).alias("num_unindexed_rows"),
-            F.count_if(covered).alias("num_indexed_fragments"),
-            F.count_if(~covered).alias("num_unindexed_fragments"),
-        )
-
-    def unindexed_rows(self, table: DataFrame) -> DataFrame:
-        """Rows no delta covers yet."""
-        meta = self.meta()
-        return table.where(self._unindexed(table, meta, self.file_state(table, meta)))
-
-
 def adc_distance(query_residual: np.ndarray, codes: np.ndarray, books: list[np.ndarray]) -> np.ndarray:
     """Asymmetric distance: one lookup table per slice, summed over the codes."""
     width = books[0].shape[1]

@@ -1,16 +1,31 @@
-"""Inverted text index with BM25 ranking (Robertson & Zaragoza, 2009)."""
+"""Inverted text index with BM25 ranking (Robertson & Zaragoza, 2009), in segments that follow the table's data files.
+
+Every delta is a segment of its own below the index path::
+
+    postings/gen=G/delta_id=D/bucket=B/  token, key, tf, dl, row_file
+    lengths/gen=G/delta_id=D/            row_file, n_docs, total_len: totals of each data file
+
+Document frequencies and totals are those of the live files: they are added up when a
+search runs, so a deleted or rewritten file counts no more, and one that no segment
+has read yet is tokenised on the way.
+"""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
+from dataclasses import replace
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tessera.operators.stored_index import ROW_FILE, FileState, IndexMeta, StoredIndex, with_files
+from tessera.sources.tables import VERSION
+
 # Fixed values of the ranking
 K1, B = 1.2, 0.75
 # Tokens are runs of these characters in the lower-cased text.
@@ -40,25 +55,25 @@ def split_tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
 
 
 def token_counts(batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
-    """Distinct tokens of each row of (key, text) with their count and the row's token total."""
-    row, tokens = split_tokens(batch.column(1))
+    """Distinct tokens of each row of (text, further columns) with their count, the row's token total and those columns."""
+    row, tokens = split_tokens(batch.column(0))
     words = tokens.dictionary_encode()
     width = max(len(words.dictionary), 1)
     pairs, counts = np.unique(row * width + words.indices.to_numpy(), return_counts=True)
     at, length = pairs // width, np.bincount(row, minlength=batch.num_rows)
-    columns = [words.dictionary.take(pa.array(pairs % width)), batch.column(0).take(pa.array(at)), pa.array(counts),
-               pa.array(length[at])]
+    columns = [words.dictionary.take(pa.array(pairs % width)), pa.array(counts), pa.array(length[at]),
+               *(c.take(pa.array(at)) for c in batch.columns[1:])]
     return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def build_postings(df: DataFrame, key: str, column: str) -> DataFrame:
-    """``(token, key, tf, dl)``, one row per token and document.
+def build_postings(df: DataFrame, keep: Sequence[str], column: str) -> DataFrame:
+    """``token``, ``tf``, ``dl`` and the columns ``keep``, one row per token and document.
 
     A document is one row, so its tokens are counted inside the batch and no
     shuffle is needed; the document length rides along, so ranking needs no join.
     """
-    schema = T.StructType([T.StructField("token", T.StringType()), T.StructField(key, df.schema[key].dataType),
-                           T.StructField("tf", T.LongType()), T.StructField("dl", T.LongType())])
+    schema = T.StructType([T.StructField("token", T.StringType()), T.StructField("tf", T.LongType()),
+                           T.StructField("dl", T.LongType()), *(df.schema[c] for c in keep)])
     arrow = to_arrow_schema(schema)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,7 +81,7 @@ def build_postings(df: DataFrame, key: str, column: str) -> DataFrame:
             if batch.num_rows:
                 yield token_counts(batch, arrow)
 
-    return df.where(F.col(column).isNotNull()).select(key, column).mapInArrow(tally, schema)
+    return df.where(F.col(column).isNotNull()).select(column, *keep).mapInArrow(tally, schema)
 
 
 def token_stats(postings: DataFrame) -> DataFrame:
@@ -77,45 +92,89 @@ def bucket_of(token: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
 
 
-class TextIndex:
-    """Postings in hash buckets of their token, and one row of corpus totals, below ``path``."""
+class TextIndex(StoredIndex):
+    """Postings in hash buckets of their token, and totals of each data file, below ``path``."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    KINDS = ("lengths",)
 
     @classmethod
-    def build(cls, df: DataFrame, path: str, *, key: str, column: str, buckets: int = BUCKETS) -> TextIndex:
+    def build(cls, df: DataFrame, path: str, *, key: str, column: str, index_name: str = "idx_text",
+              buckets: int = BUCKETS, replace_existing: bool = True) -> TextIndex:
         """One shuffle by bucket; rebalancing cuts the bucket of a very common word over
         several tasks from the sizes seen at run time. Rows are sorted by token, so
         row-group statistics narrow a lookup further."""
         index = cls(df.sparkSession, path)
-        rows = build_postings(df, key, column).withColumn("bucket", bucket_of(F.col("token"), buckets))
-        (rows.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "token")
-             .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
-        # one row per part: documents, then tokens
-        size = df.agg(F.count(F.lit(1)).alias("n_docs"), F.lit(0).cast("long").alias("total_len"))
-        length = index.postings().agg(F.lit(0).cast("long").alias("n_docs"), F.sum("tf").alias("total_len"))
-        (size.unionByName(length).agg(F.sum("n_docs").alias("n_docs"), F.sum("total_len").alias("total_len"))
-             .withColumn("buckets", F.lit(buckets)).coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus"))
+        gen, meta_id = index._next(replace_existing)
+        meta = IndexMeta(meta_id, gen, 0, 0, index_name, column, key, "FTS", "bm25", 0,
+                         json.dumps({"buckets": buckets, "key_type": df.schema[key].dataType.simpleString()}, sort_keys=True))
+        _, covered = index._write_delta(df, meta, 0)
+        index._commit(replace(meta, covered_version=covered))
         return index
 
-    def postings(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/postings")
-
-    def search(self, terms: Sequence[str], key: str, k: int = 10) -> DataFrame:
-        """Best ``k`` rows for the query terms: ``(key, score)``; only their buckets are read."""
+    def _write_delta(self, df: DataFrame, meta: IndexMeta, delta_id: int,
+                     files: FileState | None = None) -> tuple[int, int]:
+        df = with_files(df)
+        newest = df.agg(F.max(VERSION)).first()[0] if VERSION in df.columns else None
+        self._note_covered(df, meta, delta_id, files)
+        rows = build_postings(df.select(meta.key_name, ROW_FILE, meta.column_name), [meta.key_name, ROW_FILE], meta.column_name)
+        self._write_postings(rows.withColumn("bucket", bucket_of(F.col("token"), self._buckets(meta))), meta.gen, delta_id)
+        written = self._segment(meta, delta_id, f"{ROW_FILE} string, tf long")
+        totals = df.groupBy(ROW_FILE).agg(F.count(F.lit(1)).alias("n_docs"), F.lit(0).cast("long").alias("total_len")).unionByName(
+            written.groupBy(ROW_FILE).agg(F.lit(0).cast("long").alias("n_docs"), F.sum("tf").alias("total_len")))
+        self._write_table(totals.groupBy(ROW_FILE).agg(F.sum("n_docs").alias("n_docs"), F.sum("total_len").alias("total_len")),
+                          "lengths", meta.gen, delta_id)
+        added = self.spark.read.schema("n_docs long").parquet(f"{self.path}/lengths/gen={meta.gen}/delta_id={delta_id}").agg(
+            F.sum("n_docs")).first()[0]
+        return added or 0, meta.covered_version if newest is None else max(newest, meta.covered_version)
+
+    def _segment(self, meta: IndexMeta, delta_id: int, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.path}/postings/gen={meta.gen}/delta_id={delta_id}")
+
+    def _write_postings(self, rows: DataFrame, gen: int, delta_id: int) -> None:
+        (rows.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "token")
+             .write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket")
+             .parquet(f"{self.path}/postings/gen={gen}/delta_id={delta_id}"))
+
+    def _posting_schema(self, meta: IndexMeta) -> str:
+        kind = json.loads(meta.params)["key_type"]
+        return f"token string, tf long, dl long, {meta.key_name} {kind}, {ROW_FILE} string, delta_id int, bucket int"
+
+    @staticmethod
+    def _buckets(meta: IndexMeta) -> int:
+        return json.loads(meta.params)["buckets"]
+
+    def search(self, terms: Sequence[str], key: str | None = None, k: int = 10,
+               table: DataFrame | None = None) -> DataFrame:
+        """Best ``k`` rows for the query terms: ``(key, score)``, the key renamed to ``key`` if given; only the terms'
+        buckets are read.
+
+        With ``table`` the answer is that of the live table: postings and totals of files it no longer has are passed
+        over, and rows of files that no segment has read are tokenised here. Without it, as of the last change.
+        Equal scores: the smaller key first.
+        """
         wanted = sorted(set(t.lower() for t in terms))
         if not 0 < len(wanted) <= MAX_TERMS:
             raise ValueError(f"from 1 to {MAX_TERMS} query terms, got {len(wanted)}")
-        n_docs, total_len, buckets = self.spark.read.parquet(f"{self.path}/corpus").first()
-        avg_len = (total_len or 0) / max(n_docs, 1)
+        meta = self.meta()
+        files, buckets = self.file_state(table, meta), self._buckets(meta)
         # the bucket of a literal folds to a constant, so this prunes directories
         in_bucket = reduce(lambda a, b: a | b, [F.col("bucket") == bucket_of(F.lit(t), buckets) for t in wanted])
-        hits = self.postings().where(in_bucket & F.col("token").isin(wanted))
+        postings = self._alive(self.postings(meta, in_bucket & F.col("token").isin(wanted)), files)
+        hits = postings.select("token", "tf", "dl", meta.key_name)
+        totals = self._alive(self._table("lengths", meta), files).select("n_docs", "total_len")
+        if table is not None and (files is None or files.fresh):
+            fresh = table.where(self._unindexed(table, meta, files))
+            own = build_postings(fresh, [meta.key_name], meta.column_name)
+            hits = hits.unionByName(own.where(F.col("token").isin(wanted)))
+            length = F.lit(0).cast("long")
+            totals = totals.unionByName(fresh.agg(F.count(F.lit(1)).alias("n_docs"), length.alias("total_len"))).unionByName(
+                own.agg(length.alias("n_docs"), F.sum("tf").alias("total_len")))
+        n_docs, total_len = totals.agg(F.sum("n_docs"), F.sum("total_len")).first()
+        avg_len = (total_len or 0) / max(n_docs or 0, 1)
         # one row per query term, at most MAX_TERMS
         df_of = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-        idf = F.log(1.0 + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        idf = F.log(1.0 + (F.lit(float(n_docs or 0)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         tf = F.col("tf").cast("double")
-        part = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(avg_len)))
-        scored = hits.join(F.broadcast(df_of), "token").groupBy(key).agg(F.sum(part).alias("score"))
-        return scored.orderBy(F.desc("score"), key).limit(k)
+        part = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(avg_len or 1.0)))
+        scored = hits.join(F.broadcast(df_of), "token").groupBy(meta.key_name).agg(F.sum(part).alias("score"))
+        return scored.orderBy(F.desc("score"), meta.key_name).limit(k).withColumnRenamed(meta.key_name, key or meta.key_name)

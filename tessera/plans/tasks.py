@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 
 from tessera.functions.scalars import ts
 from tessera.operators.embedding import HASH_MODEL, embed_table, hash_encoder
-from tessera.operators.ivf import IvfIndex
+from tessera.operators.index_catalog import build_index, merge_all, open_index, optimize_all
 from tessera.operators.upkeep import (KEEP_VERSIONS, compact, delete_from_table, expired, ranked_versions)
 from tessera.sources.paths import delete_path
 from tessera.sources.tables import VERSION
@@ -68,32 +68,41 @@ def vectorize(spark: SparkSession, params: Mapping) -> dict:
 
 @task("INDEX_BUILD")
 def index_build(spark: SparkSession, params: Mapping) -> dict:
+    """Build an index of any type: IVF_FLAT, IVF_PQ, FTS or BITMAP."""
     path, index_path, key, column, name, kind = required(
         params, "path", "index_path", "key", "column_name", "index_name", "index_type")
-    index = IvfIndex.build(spark.read.parquet(path), index_path, key=key, column=column, index_name=name,
-                           index_type=kind, **(params.get("params") or {}))
+    index = build_index(spark.read.parquet(path), index_path, index_type=kind, key=key, column=column, index_name=name,
+                        **(params.get("params") or {}))
     return asdict(index.meta())
 
 
 @task("INDEX_OPTIMIZE")
 def index_optimize(spark: SparkSession, params: Mapping) -> dict:
-    path, index_path = required(params, "path", "index_path")
-    index = IvfIndex(spark, index_path)
+    """Take new files up into one index (``index_path``) or into all of the table's (``index_root``)."""
+    (path,) = required(params, "path")
+    if params.get("index_root"):
+        return {"indexes": [r.asDict() for r in optimize_all(spark.read.parquet(path), params["index_root"]).collect()]}
+    (index_path,) = required(params, "index_path")
+    index = open_index(spark, index_path)
     added = index.optimize(spark.read.parquet(path))
     return {"rows_added": added, "covered_version": index.meta().covered_version}
 
 
 @task("INDEX_MERGE")
 def index_merge(spark: SparkSession, params: Mapping) -> dict:
+    """Fold the deltas of one index, or with ``index_root`` and ``path`` of all of a table's."""
+    if params.get("index_root"):
+        (path,) = required(params, "path")
+        return {"indexes": [r.asDict() for r in merge_all(spark.read.parquet(path), params["index_root"]).collect()]}
     (index_path,) = required(params, "index_path")
-    return {"deltas_folded": IvfIndex(spark, index_path).merge()}
+    return {"deltas_folded": open_index(spark, index_path).merge()}
 
 
 @task("INDEX_CLEANUP")
 def index_cleanup(spark: SparkSession, params: Mapping) -> dict:
     """Drop postings that a merge or rebuild has replaced."""
     (index_path,) = required(params, "index_path")
-    return {"generations_dropped": IvfIndex(spark, index_path).drop_old_generations()}
+    return {"generations_dropped": open_index(spark, index_path).drop_old_generations()}
 
 
 @task("LIFECYCLE_RECYCLE")

@@ -3,7 +3,8 @@ where SQL is to repeat the result; trained ones are judged by recall."""
 
 from pyspark.sql import functions as F
 
-from tessera.operators import ivf, scalar_index as si, search as se, text_index as tx
+from tessera.operators import (bitmap_index as bm, index_catalog as ic, ivf, scalar_index as si, search as se,
+                               text_index as tx, upkeep as up)
 from tessera.plans import lifecycle as lc
 from tessera.queries import given, query
 from tessera.queries.vectors import L2, MEANS, QUERY0, first_vector, label_means, rounded
@@ -306,19 +307,70 @@ def fts_build(spark, sf):
     return tx.token_stats(index.postings())
 
 
-@query("fts_search", f"""WITH {TOKENS},
+def bm25_sql(tables: str) -> str:
+    return f"""{tables},
+tok AS (SELECT doc_id, len(ws) AS dl, unnest(ws) AS token FROM (
+  SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM live)),
+postings AS (SELECT token, doc_id, count(*) AS tf, max(dl) AS dl FROM tok GROUP BY token, doc_id),
 corpus AS (SELECT count(*)::DOUBLE AS n, sum(len(regexp_extract_all(lower(text), '[a-z0-9]+')))::DOUBLE / count(*) AS avg_len
-           FROM documents),
+           FROM live),
 hits AS (SELECT * FROM postings WHERE token IN {TERMS}),
 idf AS (SELECT token, ln(1.0 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM hits, corpus GROUP BY token, n),
 scores AS (SELECT doc_id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg_len))) AS score
            FROM hits JOIN idf USING (token), corpus GROUP BY doc_id)
-SELECT doc_id, round(score, 6) AS score FROM scores ORDER BY score DESC, doc_id LIMIT 25""")
+SELECT doc_id, round(score, 6) AS score FROM scores ORDER BY score DESC, doc_id LIMIT 25"""
+
+
+@query("fts_search", bm25_sql("WITH live AS (SELECT * FROM documents)"))
 def fts_search(spark, sf):
     index = tx.TextIndex.build(given(spark, sf, "documents"), work_path(spark, "fts"), key="doc_id", column="text")
     return index.search(TERMS, "doc_id", 25).withColumn("score", F.round("score", 6))
 
 
+def followed_documents(spark, sf):
+    """Documents in two appends with an index of each type after the first, then a delete of French rows of the first."""
+    path, root = work_path(spark, "documents"), work_path(spark, "indexes")
+    docs = given(spark, sf, "documents")
+    tb.write_append(docs.where("doc_id % 4 <> 0").repartition(3, "doc_id"), path, version=1)
+    stored = spark.read.parquet(path)
+    ic.build_index(stored, f"{root}/text", index_type="FTS", key="doc_id", column="text", index_name="idx_text")
+    for column in ("lang", "source"):
+        ic.build_index(stored, f"{root}/{column}", index_type="BITMAP", key="doc_id", column=column, index_name=f"idx_{column}")
+    tb.write_append(docs.where("doc_id % 4 = 0").repartition(2, "doc_id"), path, version=2)
+    up.delete_from_table(spark, path, tb.VERSION, "lang = 'fr' AND ingest_version = 1")
+    return spark.read.parquet(path), root
+
+
+LIVE_DOCUMENTS = """WITH live AS (SELECT *, CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 1 END AS version FROM documents
+  WHERE doc_id % 4 = 0 OR lang IS NULL OR lang <> 'fr')"""
+
+
+@query("fts_search_mixed", bm25_sql(LIVE_DOCUMENTS))
+def fts_search_mixed(spark, sf):
+    """Rows that no segment has read count, deleted ones don't."""
+    table, root = followed_documents(spark, sf)
+    index = ic.open_index(spark, f"{root}/text")
+    return index.search(TERMS, "doc_id", 25, table).withColumn("score", F.round("score", 6))
+
+
+@query("fts_search_merged", bm25_sql(LIVE_DOCUMENTS))
+def fts_search_merged(spark, sf):
+    """After optimize and merge the segments alone give the live table's ranking."""
+    table, root = followed_documents(spark, sf)
+    ic.optimize_all(table, root)
+    ic.merge_all(table, root)
+    return ic.open_index(spark, f"{root}/text").search(TERMS, "doc_id", 25).withColumn("score", F.round("score", 6))
+
+
+@query("index_optimize_all", LIVE_DOCUMENTS + """
+SELECT name AS index_name, kind AS index_type, (SELECT count(*) FROM live) AS rows, 2::BIGINT AS covered_version
+FROM (VALUES ('idx_lang', 'BITMAP'), ('idx_source', 'BITMAP'), ('idx_text', 'FTS')) AS t(name, kind)""")
+def index_optimize_all(spark, sf):
+    """The delete rewrote the first append, so all live rows are new to every index."""
+    table, root = followed_documents(spark, sf)
+    return ic.optimize_all(table, root)
+
+
 # --- scalar indexes ----------------------------------------------------------------------
 
 LOW, HIGH = "1997-01-01 00:00:00", "1997-06-30 00:00:00"
@@ -351,12 +403,30 @@ def btree_lookup(spark, sf):
     return sorted_lines(spark, sf).lookup(low, high)
 
 
-@query("bitmap_build", "SELECT event_type, count(DISTINCT event_id) AS row_count FROM events GROUP BY event_type")
+@query("bitmap_build", "SELECT event_type, count(*) AS row_count FROM events GROUP BY event_type")
 def bitmap_build(spark, sf):
-    return si.bitmap_counts(si.build_bitmaps(given(spark, sf, "events"), "event_type", "event_id"), "event_type")
+    index = bm.BitmapIndex.build(given(spark, sf, "events"), work_path(spark, "bitmap"), column="event_type")
+    return index.counts().withColumnRenamed("value", "event_type")
 
 
 @query("bitmap_lookup", "SELECT event_id AS row_id FROM events WHERE event_type IN ('error', 'signup')")
 def bitmap_lookup(spark, sf):
-    bitmaps = si.build_bitmaps(given(spark, sf, "events"), "event_type", "event_id")
-    return si.bitmap_rows(si.bitmap_any(bitmaps, "event_type", ["error", "signup"]))
+    events = given(spark, sf, "events")
+    index = bm.BitmapIndex.build(events, work_path(spark, "bitmap"), column="event_type")
+    return bm.lookup(events, [bm.OneOf(index, ["error", "signup"])]).select(F.col("event_id").alias("row_id"))
+
+
+@query("bitmap_lookup_multi", LIVE_DOCUMENTS + """
+SELECT doc_id, lang, source FROM live
+WHERE (lang IN ('en', 'de') OR source = (SELECT min(source) FROM documents)) AND source <> (SELECT max(source) FROM documents)""")
+def bitmap_lookup_multi(spark, sf):
+    """AND, OR and NOT over two indexes of a table that was appended to and deleted from, half of it indexed anew."""
+    table, root = followed_documents(spark, sf)
+    lang, source = (ic.open_index(spark, f"{root}/{c}") for c in ("lang", "source"))
+    lang.optimize(table)  # the other index still lags behind: its missing files are filtered as they are read
+    low, high = given(spark, sf, "documents").agg(F.min("source"), F.max("source")).first()
+    clauses = [bm.OneOf(lang, ["en", "de"]), bm.OneOf(source, [low])], [bm.OneOf(source, [high], negate=True)]
+    found = bm.lookup(table, *clauses)
+    source.optimize(table)
+    again = bm.lookup(table, *clauses)  # from containers alone
+    return found.select("doc_id", "lang", "source").intersectAll(again.select("doc_id", "lang", "source"))

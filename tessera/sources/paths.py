@@ -37,6 +37,14 @@ def delete_path(spark: SparkSession, path: str) -> bool:
     return fs.delete(jvm_path, True)
 
 
+def child_folders(spark: SparkSession, path: str) -> list[str]:
+    """Folders right below ``path``, by name; none if it is missing."""
+    fs, jvm_path = _fs_and_path(spark, path)
+    if not fs.exists(jvm_path):
+        return []
+    return sorted(status.getPath().toString() for status in fs.listStatus(jvm_path) if status.isDirectory())
+
+
 def partition_dirs(spark: SparkSession, path: str, column: str) -> dict[str, str]:
     """Directory name of each value of the first-level partition ``column``; a NULL is ``NULL_PARTITION``."""
     fs, jvm_path = _fs_and_path(spark, path)
