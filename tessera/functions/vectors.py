@@ -71,6 +71,15 @@ def distance_to(column: str | Column, vector: Sequence[float], metric: str = "l2
     return batch_distance(column)
 
 
+def pair_distance(a: str, b: str, dim: int, metric: str = "l2") -> Column:
+    """Distance of two vector columns of ``dim`` elements, by Arrow batches; neither may be NULL."""
+    @F.arrow_udf(T.DoubleType())
+    def batch_distance(left: pa.Array, right: pa.Array) -> pa.Array:
+        return pa.array(row_distance(matrix_of(left, dim)[0], matrix_of(right, dim)[0], metric))
+
+    return batch_distance(a, b)
+
+
 def distance_expr(a: Column, b: Column, metric: str = "l2") -> Column:
     """The same distance between two vector columns as a built-in expression."""
     dbl = lambda x: x.cast("double")

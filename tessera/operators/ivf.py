@@ -24,12 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessera.functions.vectors import matrix_of, row_distance
+from tessera.functions.vectors import matrix_of, pair_distance, row_distance
+from tessera.operators.block_join import PART, Score, best_of, block_join, flat_join, flat_score
 from tessera.operators.search import (DISTANCE, K_DEFAULT, QueryBlock, TopK, check_dimension, check_k,
-                                      nearest, per_block, scan_topk, short_list)
+                                      nearest, scan_topk, short_list)
 from tessera.operators.stored_index import (FILE_NAME, META_SCHEMA, ROW_FILE, FileState, IndexMeta, StoredIndex,  # noqa: F401
                                             reads_files, with_files)
 from tessera.session import work_path
@@ -300,23 +301,75 @@ class IvfIndex(StoredIndex):
 
     def probes(self, vectors: np.ndarray, nprobes: int) -> np.ndarray:
         """Ids of the ``nprobes`` closest partitions per query, closest first."""
+        near = nearest_partitions(*self.model(), nprobes)
+        return np.asarray([near(v) for v in vectors])
+
+    def search_join(self, queries: DataFrame, qid: str, qvec: str, k: int = K_DEFAULT, nprobes: int = 1,
+                    refine_factor: int | None = None, table: DataFrame | None = None,
+                    include_unindexed: bool = True) -> DataFrame:
+        """Approximate k nearest per query: ``(qid, key, _distance, rank)``; any number of queries.
+
+        Queries are exploded to the partitions they probe and meet their postings there, in blocks of bounded size
+        (:mod:`tessera.operators.block_join`); neither side passes the driver, and the postings are read once. With
+        ``refine_factor`` the best ``refine_factor * k`` of each query are ranked again by exact distance. ``table`` works
+        as in :meth:`search`: postings of files it no longer has are passed over, and its unindexed rows are compared
+        exactly. Queries without a vector have no rows.
+        """
+        meta = self.meta()
+        check_k(k)
+        if refine_factor is not None and refine_factor < 1:
+            raise ValueError(f"refine_factor must be at least 1, got {refine_factor}")
+        files = self.file_state(table, meta)
+        postings = self._alive(self.postings(meta), files)
+        asked = queries.where(F.col(qvec).isNotNull()).select(qid, qvec)
+        want = k * (refine_factor or 1)
+        flat = meta.index_type == "IVF_FLAT"
+        value = meta.column_name if flat else "code"
+        score = flat_score(meta.key_name, value, meta.dim) if flat else self._code_score(meta)
+        row_bytes = 8 * (meta.dim if flat else len(self.books()))
+        hits = block_join(self._probing(asked, qid, qvec, nprobes), postings.select(PART, meta.key_name, value), qid, qvec,
+                          meta.key_name, want, meta.metric, meta.dim, row_bytes, score)
+        if refine_factor is not None:
+            order = Window.partitionBy(qid).orderBy(DISTANCE, meta.key_name)
+            listed = hits.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= want)
+            vectors = postings.select(PART, meta.key_name, F.col(meta.column_name).alias("_vector"))
+            pairs = listed.select(qid, PART, meta.key_name).join(vectors, [PART, meta.key_name]).join(
+                asked.withColumnRenamed(qvec, "_asked"), qid)
+            hits = pairs.withColumn(DISTANCE, pair_distance("_vector", "_asked", meta.dim, meta.metric))
+        hits = hits.select(qid, meta.key_name, DISTANCE)
+        if include_unindexed and table is not None and (files is None or files.fresh):
+            fresh = table.where(self._unindexed(table, meta, files))
+            hits = hits.unionByName(flat_join(asked, qid, qvec, fresh, meta.key_name, meta.column_name, k, meta.metric,
+                                              meta.dim).select(qid, meta.key_name, DISTANCE))
+        return best_of(hits, qid, meta.key_name, k)
+
+    def _probing(self, queries: DataFrame, qid: str, qvec: str, nprobes: int) -> DataFrame:
+        """``part_id``, ``qid``, ``qvec``: a row for each partition that a query probes."""
+        dim = self.meta().dim
         part_ids, matrix = self.model()
-        out = []
-        for v in vectors:
-            order = np.lexsort((part_ids, row_distance(matrix, v, "l2")))
-            out.append(np.asarray(part_ids)[order[:nprobes]])
-        return np.asarray(out)
+        near = nearest_partitions(part_ids, matrix, nprobes)
 
-    def search_join(self, queries: DataFrame, qid: str, qvec: str, k: int = K_DEFAULT,
-                    nprobes: int = 1) -> DataFrame:
-        """Approximate k nearest per query: ``(qid, key, _distance, rank)``.
+        @F.arrow_udf(T.ArrayType(T.IntegerType()))
+        def probed(vectors: pa.Array) -> pa.Array:
+            rows, _ = matrix_of(vectors, dim)
+            return pa.array([near(v).tolist() for v in rows], pa.list_(pa.int32()))
 
-        Only probed partitions are read (a literal filter on the partition column).
-        """
-        meta = self.meta()
-        postings = self.postings(meta)
-        run = self._searcher(meta, postings, qid, k, nprobes)
-        return per_block(queries, qid, qvec, postings.schema[meta.key_name], k, run)
+        return queries.withColumn("_parts", probed(qvec)).select(F.explode("_parts").alias(PART), qid, qvec)
+
+    def _code_score(self, meta: IndexMeta) -> Score:
+        """Distances from codes, by one lookup table per query and slice."""
+        part_ids, matrix = self.model()
+        row_of, books, key = dict(zip(part_ids, range(len(part_ids)))), self.books(), meta.key_name
+
+        def score(best: TopK, part: int, rows: pa.Table) -> None:
+            codes = rows.column("code").combine_chunks().flatten().to_numpy().reshape(-1, len(books))
+            keys = rows.column(key).to_numpy()
+            for q in range(len(best.queries)):
+                dist = adc_distance(best.queries[q] - matrix[row_of[part]], codes, books)
+                at = best.near(q, dist, keys)
+                best.offer(np.full(len(at), q), dist[at], keys[at])
+
+        return score
 
     def _searcher(self, meta: IndexMeta, postings: DataFrame, qid: str, k: int,
                   nprobes: int) -> Callable[[QueryBlock], DataFrame]:
@@ -393,6 +446,16 @@ class IvfIndex(StoredIndex):
                     meta.key_name, DISTANCE))
         return hits.orderBy(DISTANCE, meta.key_name).limit(k)
 
+def nearest_partitions(part_ids: Sequence[int], matrix: np.ndarray, nprobes: int) -> Callable[[np.ndarray], np.ndarray]:
+    """Function of a vector: ids of its ``nprobes`` closest partitions, closest first."""
+    ids = np.asarray(part_ids)
+
+    def near(vector: np.ndarray) -> np.ndarray:
+        return ids[np.lexsort((ids, row_distance(matrix, vector, "l2")))[:nprobes]]
+
+    return near
+
+
 def adc_distance(query_residual: np.ndarray, codes: np.ndarray, books: list[np.ndarray]) -> np.ndarray:
     """Asymmetric distance: one lookup table per slice, summed over the codes."""
     width = books[0].shape[1]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -11,13 +10,12 @@ from pyspark.sql import DataFrame, Row, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.functions.vectors import METRICS, DimensionMismatch, distance_to, matrix_of, row_distance, vector_dim
-from tessera.session import work_path
 from tessera.sources.tables import require_columns
 
 K_MIN, K_MAX, K_DEFAULT = 1, 1000, 10
 DISTANCE = "_distance"
 
-# One block of query vectors travels to every task; a larger set is cut into blocks.
+# A query set of up to this size travels to every task; a larger one meets the table in blocks.
 QUERY_BLOCK_BYTES = 64 << 20
 # Cells of one distance matrix inside a task (doubles).
 MATRIX_CELLS = 2 << 20
@@ -184,22 +182,17 @@ class QueryBlock:
         self.matrix = np.asarray(vectors, dtype=np.float64)
 
 
-def query_blocks(queries: DataFrame, qid: str, qvec: str, k: int) -> Iterator[QueryBlock]:
-    """Bring the query set to the driver one size-checked block at a time.
+def query_block(queries: DataFrame, qid: str, qvec: str, k: int) -> QueryBlock | None:
+    """The query set on the driver if it is small: a query costs a task its vector plus ``k`` keys and distances.
 
-    A query costs a task its vector plus ``k`` keys and distances.
+    None if it takes more than ``QUERY_BLOCK_BYTES``.
     """
     frame = queries.select(qid, qvec).where(F.col(qvec).isNotNull())
-    size = frame.agg(F.count(F.lit(1)), F.max(F.size(qvec))).first()
-    if not size[0]:
-        return
-    n_blocks = max(1, math.ceil(size[0] * (size[1] + 2 * k) * 8 / QUERY_BLOCK_BYTES))
-    id_type = queries.schema[qid].dataType
-    block_of = F.pmod(F.xxhash64(qid), F.lit(n_blocks))
-    for b in range(n_blocks):
-        rows = (frame if n_blocks == 1 else frame.where(block_of == b)).collect()
-        if rows:
-            yield QueryBlock([r[0] for r in rows], id_type, [r[1] for r in rows])
+    n, dim = frame.agg(F.count(F.lit(1)), F.max(F.size(qvec))).first()
+    if n * ((dim or 0) + 2 * k) * 8 > QUERY_BLOCK_BYTES:
+        return None
+    rows = frame.collect()
+    return QueryBlock([r[0] for r in rows], queries.schema[qid].dataType, [r[1] for r in rows])
 
 
 def scan_topk(table: DataFrame, key: str, columns: Sequence[str], block: QueryBlock, qid: str, k: int,
@@ -233,46 +226,35 @@ def scan_topk(table: DataFrame, key: str, columns: Sequence[str], block: QueryBl
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def per_block(queries: DataFrame, qid: str, qvec: str, key_field: T.StructField, k: int,
-              run: Callable[[QueryBlock], DataFrame]) -> DataFrame:
-    """Apply ``run`` to each query block; several blocks are written out one by one."""
-    spark = queries.sparkSession
-    blocks = query_blocks(queries, qid, qvec, k)
-    first = next(blocks, None)
-    if first is None:
-        schema = T.StructType([queries.schema[qid], key_field, T.StructField(DISTANCE, T.DoubleType()),
-                               T.StructField("rank", T.IntegerType())])
-        return spark.createDataFrame([], schema)
-    second = next(blocks, None)
-    if second is None:
-        return run(first)
-    path = work_path(spark, "knn")
-    run(first).write.mode("append").parquet(path)
-    run(second).write.mode("append").parquet(path)
-    for block in blocks:
-        run(block).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
-
-
 def knn_join(queries: DataFrame, qid: str, qvec: str, table: DataFrame, key: str, column: str,
              k: int = K_DEFAULT, metric: str = "l2") -> DataFrame:
-    """Exact k nearest rows of ``table`` for every query: ``(qid, key, _distance, rank)``."""
+    """Exact k nearest rows of ``table`` for every query: ``(qid, key, _distance, rank)``.
+
+    A query set of bounded size travels to the table, which is read once and not shuffled. A larger one meets it in
+    blocks (:mod:`tessera.operators.block_join`), also in one pass and without the driver.
+    """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}; known: {METRICS}")
     check_column(table, column)
+    block = query_block(queries, qid, qvec, k)
+    if block is None:
+        from tessera.operators.block_join import best_of, flat_join  # imports this module
+
+        dim = vector_dim(queries, qvec)
+        return best_of(flat_join(queries, qid, qvec, table, key, column, k, metric, dim), qid, key, k)
+    if not block.ids:
+        schema = T.StructType([queries.schema[qid], table.schema[key], T.StructField(DISTANCE, T.DoubleType()),
+                               T.StructField("rank", T.IntegerType())])
+        return queries.sparkSession.createDataFrame([], schema)
+    everyone = np.arange(len(block.ids))
+    dim = block.matrix.shape[1]
 
-    def run(block: QueryBlock) -> DataFrame:
-        everyone = np.arange(len(block.ids))
-        dim = block.matrix.shape[1]
-
-        def feed(best: TopK, batch: pa.RecordBatch) -> None:
-            rows, valid = matrix_of(batch.column(column), dim)
-            keys = batch.column(key).to_numpy(zero_copy_only=False)[valid]
-            best.update(everyone, rows, keys)
-
-        return scan_topk(table, key, [column], block, qid, k, metric, feed)
+    def feed(best: TopK, batch: pa.RecordBatch) -> None:
+        rows, valid = matrix_of(batch.column(column), dim)
+        keys = batch.column(key).to_numpy(zero_copy_only=False)[valid]
+        best.update(everyone, rows, keys)
 
-    return per_block(queries, qid, qvec, table.schema[key], k, run)
+    return scan_topk(table, key, [column], block, qid, k, metric, feed)
 
 
 def search_many(queries: DataFrame, qid: str, qvec: str, table: DataFrame, key: str, column: str,

@@ -92,6 +92,25 @@ def vector_search_mixed(spark, sf):
     return rounded(index.search(q, 30, nprobes=3, table=table))
 
 
+@query("ivf_knn_join_mixed", f"""WITH {ASSIGNED},
+probes AS (SELECT query_id, qv, part_id FROM (
+  SELECT q.vec_id AS query_id, q.embedding AS qv, m.mean_label AS part_id,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY {L2.format(a="m.mv", b="q.embedding")}, m.mean_label) AS rn
+  FROM embeddings q, means m) WHERE rn <= 2)
+SELECT query_id, vec_id, round(d, 6) AS distance, CAST(rank AS INT) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM (
+    SELECT p.query_id, a.vec_id, {L2.format(a="a.embedding", b="p.qv")} AS d
+    FROM probes p JOIN assigned a ON a.part_id = p.part_id WHERE a.label < 7
+    UNION ALL
+    SELECT q.vec_id, e.vec_id, {L2.format(a="e.embedding", b="q.embedding")} FROM embeddings q, embeddings e WHERE e.label >= 7))
+WHERE rank <= 5""")
+def ivf_knn_join_mixed(spark, sf):
+    """Every vector searched in the index of the first append and, exactly, in the rows that came after it."""
+    index, table = appended_index(spark, sf)
+    queries = table.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+    return rounded(index.search_join(queries, "query_id", "qv", 5, nprobes=2, table=table))
+
+
 @query("index_optimize", f"""WITH {ASSIGNED}
 SELECT CAST({VERSION_OF} - 1 AS INT) AS delta_id, part_id, count(*) AS row_count FROM assigned GROUP BY ALL""")
 def index_optimize(spark, sf):
