@@ -127,6 +127,20 @@ def stream_stall_alert(spark, sf):
     return st.run_sessions(st.stall_alerts(event_stream(spark, sf)), st.stream_path(spark, "stalls"))
 
 
+@query("stream_silence_alert", control_cte("task_event_ctl") + """
+SELECT worker_id, max(created_at) AS last_seen FROM task_event_ctl GROUP BY worker_id""")
+def stream_silence_alert(spark, sf):
+    """After the table no event follows, so every worker's timer runs out; the last alert of each has its newest event."""
+    path = st.stream_path(spark, "silence")
+    running = st.start_silence_alerts(event_stream(spark, sf), path, gap_seconds=3)
+    try:
+        st.wait_for_silence(running)
+    finally:
+        running.stop()
+    return st.read_silence_alerts(spark, path).groupBy("worker_id").agg(
+        F.max("last_seen").cast("timestamp_ntz").alias("last_seen"))
+
+
 @query("stream_task_state", control_cte("task_event_ctl", w="""
   SELECT *, lag(to_status) OVER (PARTITION BY task_uuid ORDER BY created_at, event_id) AS from_status FROM task_event_ctl""") + """
 SELECT task_uuid, event_id, from_status, to_status,

@@ -7,9 +7,11 @@ the watermark has passed its end.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tessera.functions.scalars import ratio
@@ -18,6 +20,7 @@ from tessera.operators.metrics import FINISHED
 from tessera.session import work_path
 from tessera.sources.paths import is_folder, path_exists
 from tessera.sources.tables import VERSION, latest_version, merge_into
+from tessera.streaming.silence import SILENCE, SilenceTimer
 from tessera.streaming.trail import TRAIL, TaskTrail
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -183,6 +186,66 @@ def stall_alerts(events: DataFrame, gap: str = "5 minutes", delay: str = WATERMA
         F.col("dead_at").alias("alert_at"))
 
 
+# --- silence ---------------------------------------------------------------------------------
+
+def _newest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The newest stamp of each worker in each Arrow batch."""
+    for batch in batches:
+        if batch.num_rows:
+            found = pa.Table.from_batches([batch]).group_by("worker_id").aggregate([("last_seen", "max")])
+            found = found.select(["worker_id", "last_seen_max"]).rename_columns(["worker_id", "last_seen"])
+            yield from found.combine_chunks().to_batches()
+
+
+def silence_alerts(events: DataFrame, gap_seconds: float) -> DataFrame:
+    """A worker that nothing was heard of for ``gap_seconds`` of wall-clock time: ``worker_id``, ``last_seen`` (its newest
+    event), ``alert_at`` (zoned).
+
+    The timer runs on processing time, so the alert comes although no further event of anyone arrives: every trigger
+    looks at the timers, with or without input. A worker gives one alert per silence and is then forgotten until it is
+    heard of again, so state holds two stamps per live worker. Late events count as a sign of life, their stamps don't
+    move ``last_seen`` back. To watch all events as one, replace ``worker_id`` by a literal.
+
+    Before the shuffle each Arrow batch is cut down to one row a worker, so a worker with a third of all events costs
+    its task a row per batch. A NULL worker is a worker; a NULL stamp is a sign of life without a time. A replayed
+    batch has the time that its first run logged, so it sets the same timers.
+    """
+    if gap_seconds <= 0:
+        raise ValueError(f"gap_seconds must be above 0, got {gap_seconds}")
+    signs = events.select(F.col("worker_id").cast("string").alias("worker_id"), F.col("created_at").cast("timestamp").alias("last_seen"))
+    return signs.mapInArrow(_newest, signs.schema).groupBy("worker_id").transformWithStateInPandas(
+        statefulProcessor=SilenceTimer(int(gap_seconds * 1000)), outputStructType=SILENCE, outputMode="append",
+        timeMode="ProcessingTime")
+
+
+def start_silence_alerts(events: DataFrame, path: str, gap_seconds: float, every: str = "1 second"):
+    """Start :func:`silence_alerts` into ``path``/rows with the state store it needs; the query runs until it is stopped.
+
+    With ``availableNow`` a query would end before its timers do, hence a steady trigger.
+    """
+    with session_conf(events.sparkSession, spark__sql__streaming__stateStore__providerClass=ROCKSDB):
+        return (silence_alerts(events, gap_seconds).writeStream.format("parquet").outputMode("append")
+                .option("checkpointLocation", f"{path}/_checkpoint").trigger(processingTime=every).start(f"{path}/rows"))
+
+
+def read_silence_alerts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(SILENCE).parquet(f"{path}/rows")
+
+
+def wait_for_silence(running, limit_seconds: float = 600.0) -> None:
+    """Return once all input is read and no worker is waited for any more; an error if that takes too long."""
+    end = time.monotonic() + limit_seconds
+    while time.monotonic() < end:
+        if running.exception() is not None:
+            raise running.exception()
+        last = running.lastProgress
+        if last and last["batchId"] > 0 and not last["numInputRows"] and last["stateOperators"] and not sum(
+                s["numRowsTotal"] for s in last["stateOperators"]):
+            return
+        time.sleep(0.2)
+    raise TimeoutError(f"workers are still waited for after {limit_seconds} s")
+
+
 # --- task state ------------------------------------------------------------------------------
 
 def task_trail(events: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -15,6 +16,13 @@ def event(i, minutes, status="SUCCEEDED", worker="w1", task="t1", checksum=None)
     return (i, task, worker, T0 + timedelta(minutes=minutes), status, 1.0, checksum or f"c{i}")
 
 
+def until(done, running, seconds=120):
+    end = time.monotonic() + seconds
+    while not done():
+        assert running.exception() is None and time.monotonic() < end
+        time.sleep(0.2)
+
+
 class Feed:
     """A directory that grows by one file per call, and a stream over it."""
 
@@ -59,6 +67,41 @@ def test_sessions_and_stalls(feed, path, tmp_path):
     assert sorted((r["alive_from"], r["events"]) for r in batch.collect()) == [(at(0), 2), (at(20), 1)]
 
 
+def test_silence_is_noticed_without_further_events(feed, path):
+    feed.add(event(1, 0), event(2, 3), event(3, 1), event(4, 90, worker="w2"), event(5, 1, worker=None))
+    seen = lambda: sorted((r["worker_id"] or "", r["last_seen"]) for r in st.read_silence_alerts(feed.spark, path).collect())
+    at = lambda m: T0 + timedelta(minutes=m)
+    running = st.start_silence_alerts(feed.stream(), path, gap_seconds=2, every="200 milliseconds")
+    try:
+        st.wait_for_silence(running, 120)
+        assert seen() == [("", at(1)), ("w1", at(3)), ("w2", at(90))]
+        feed.add(event(6, 7))  # heard of again: the timer is set once more, and goes off once more
+        until(lambda: len(seen()) == 4, running)
+        assert seen() == [("", at(1)), ("w1", at(3)), ("w1", at(7)), ("w2", at(90))]
+        st.wait_for_silence(running, 120)
+    finally:
+        running.stop()
+    assert len(seen()) == 4
+
+
+def test_a_timer_is_set_anew_by_each_event_and_outlives_a_restart(feed, path):
+    feed.add(event(1, 0))
+    running = st.start_silence_alerts(feed.stream(), path, gap_seconds=6, every="200 milliseconds")
+    until(lambda: any(p["numInputRows"] for p in running.recentProgress), running)
+    running.stop()
+    feed.add(event(2, 5), event(3, -5))
+    running = st.start_silence_alerts(feed.stream(), path, gap_seconds=6, every="200 milliseconds")
+    try:
+        st.wait_for_silence(running, 120)
+    finally:
+        running.stop()
+    rows = st.read_silence_alerts(feed.spark, path).collect()
+    assert max(r["last_seen"] for r in rows) == T0 + timedelta(minutes=5)
+    assert all(r["alert_at"] is not None for r in rows)
+    with pytest.raises(ValueError):
+        st.silence_alerts(feed.stream(), 0)
+
+
 def test_task_trail_goes_on_across_batches(feed, path):
     feed.add(event(1, 0, "PENDING"), event(3, 2, "SUCCEEDED"), event(2, 1, "RUNNING"), event(9, 0, "FAILED", task="t2"))
     st.run_task_trail(feed.stream(), path)
