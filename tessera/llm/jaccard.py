@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import query
@@ -132,6 +132,13 @@ _PROFILE_SHAPE = "id long, n long, seq binary, keys array<long>, cell int, count
 _SLICE = 1 << 14
 
 
+def _sequence(words: np.ndarray) -> bytes:
+    """A digest of a document's word sequence."""
+    order = np.arange(1, len(words) + 1, dtype=np.uint64)
+    sums = _mix(words + order).sum(dtype=np.uint64), _mix(words ^ (order * np.uint64(_BASE))).sum(dtype=np.uint64)
+    return np.array([len(words), *sums], "<u8").tobytes()
+
+
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts, seeds = np.zeros(1 << COUNT_BITS, np.int64), _numbers(KEYS, 3)[:, None]
     for batch in batches:
@@ -142,10 +149,8 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.append((doc, 0, None, None, None, None))
                 continue
             cells.append(grams >> np.uint64(64 - COUNT_BITS))
-            order = np.arange(1, len(words) + 1, dtype=np.uint64)
-            seq = np.array([len(words), _mix(words + order).sum(dtype=np.uint64), _mix(words ^ (order * np.uint64(_BASE))).sum(dtype=np.uint64)], "<u8")
             keys = _mix(grams[None, :] ^ seeds).min(axis=1).view(np.int64).tolist()
-            rows.append((doc, len(grams), seq.tobytes(), keys, None, None))
+            rows.append((doc, len(grams), _sequence(words), keys, None, None))
         if cells:
             np.add.at(counts, np.concatenate(cells).astype(np.intp), 1)
         yield batch_of(_PROFILE, rows)
@@ -416,6 +421,29 @@ def _relabel(docs: DataFrame, links: DataFrame) -> DataFrame:
         *[docs[c] for c in docs.columns if c != "label"], F.coalesce("label", "id").alias("label"))
 
 
+def _profiled(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All rows of the first pass, and those that are documents."""
+    profiles = saved(texts.mapInArrow(_profiles, _PROFILE_SHAPE), "profiles")
+    return profiles, profiles.where("cell is null").select("id", "n", "seq", "keys")
+
+
+def _prefix_column() -> Column:
+    return F.col("n") - F.ceil(F.col("n") * SIMILARITY[0] / SIMILARITY[1]) + 1
+
+
+def _candidates(texts: DataFrame, profiles: DataFrame, entries: int) -> DataFrame:
+    """Pairs ``a``, ``b`` of the texts (``id``, ``text``, ``label``) that share a prefix shingle, have different labels
+    and pass the length and positional filters; ``entries`` is the number of prefix shingles of all of them."""
+    counts = _frequencies(profiles)
+    middle = float(np.median(counts))
+    noise = max(0.0, middle - 6 * math.sqrt(middle))  # what other shingles add to a cell, at least
+    cells = max(8, math.ceil(entries / CELL_ENTRIES))
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
+    packed = texts.mapInArrow(lambda b: _prefixes(b, shared, cells, noise), "cell int, i int, entries binary")
+    packed = packed.repartition(cells, "cell").sortWithinPartitions("cell")
+    return saved(packed.mapInArrow(_cross, "a long, b long").distinct(), "pairs")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: its id, ``n_shingles`` and ``component_id``, the smallest id reachable by links.
 
@@ -436,10 +464,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Repeated rows: a row each, one class. Rows of one id with different texts: one node with the links of all its texts.
     Empty table: no rows.
     """
-    spark = docs.sparkSession
     texts = docs.select(id_or_none(F.col(id_col)).alias("id"), F.col(text_col).alias("text"))
-    profiles = saved(texts.mapInArrow(_profiles, _PROFILE_SHAPE), "profiles")
-    rows = profiles.where("cell is null").select("id", "n", "seq", "keys")
+    profiles, rows = _profiled(texts)
     classes = rows.where("n > 0").groupBy("seq").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     classes = saved(classes, "classes")
     members = saved(rows.drop("keys").join(classes.drop("copies"), "seq", "left"), "members")
@@ -458,17 +484,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links.append(_star_round(texts, labelled, _union(links)))
         labelled = saved(_relabel(nodes, _union(links)), "labelled")
 
-    counts = _frequencies(profiles)
-    middle = float(np.median(counts))
-    noise = max(0.0, middle - 6 * math.sqrt(middle))  # what other shingles add to a cell, at least
-    entries = nodes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * SIMILARITY[0] / SIMILARITY[1]) + 1)).first()[0] or 0
-    cells = max(8, math.ceil(entries / CELL_ENTRIES))
-    shared = spark.sparkContext.broadcast(counts)
+    entries = nodes.agg(F.sum(_prefix_column())).first()[0] or 0
     where = labelled.select("id", "label").distinct()
-    packed = texts.join(where, "id").select("id", "text", "label")
-    packed = packed.mapInArrow(lambda b: _prefixes(b, shared, cells, noise), "cell int, i int, entries binary")
-    packed = packed.repartition(cells, "cell").sortWithinPartitions("cell")
-    pairs = saved(packed.mapInArrow(_cross, "a long, b long").distinct(), "pairs")
+    pairs = _candidates(texts.join(where, "id").select("id", "text", "label"), profiles, entries)
     links.append(_links(texts, pairs))
 
     found = components(_union(links), "a", "b")
@@ -477,6 +495,74 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       none_or_id(F.coalesce("label", "rep", "id")).alias("component_id"))
 
 
+def _with_sequence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds to each text the digest of its word sequence, as the first pass has it; texts without words go."""
+    for batch in batches:
+        seqs = [_sequence(words) if len(words) else None for words in _documents(binary_values(batch.column(1)))]
+        seq = pa.array(seqs, pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), seq], ["id", "text", "seq"]).filter(seq.is_valid())
+
+
+def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The whole join: a row per document, and all links between different texts.
+
+    Documents: id, ``n_shingles``, ``class_key`` (of its word sequence, NULL without words), ``class_id`` (smallest id of
+    that class), ``n_links`` (other documents that are similar: those of its class and of every linked class) and
+    ``component_id``, which is that of :func:`near_duplicates`.
+
+    Links: ``class_a`` < ``class_b`` with ``id_a``, ``id_b`` and the number of documents of each, ``copies_a`` and
+    ``copies_b``. Each unordered pair of classes whose sets are similar comes once; copies aren't expanded.
+
+    Unlike :func:`near_duplicates` no pair is left out because its documents are known to be connected: every candidate of
+    the prefix join is verified, so the cost grows with the links between different texts.
+
+    NULL or empty text, or no word: no class and no links. NULL id: shown as NULL. Repeated rows: a document each, linked
+    with each other. Rows of one id with different texts: a class each with links of its own, one component. Empty table:
+    no rows in either.
+    """
+    texts = docs.select(id_or_none(F.col(id_col)).alias("id"), F.col(text_col).alias("text"))
+    profiles, rows = _profiled(texts)
+    rows = rows.drop("keys")
+    classes = rows.where("n > 0").groupBy("seq").agg(
+        F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"))
+    classes = saved(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # written, so numbers stay
+
+    one = classes.select("seq", F.col("rep").alias("id"), "node")
+    kept = texts.mapInArrow(_with_sequence, "id long, text string, seq binary").join(one, ["seq", "id"])
+    kept = saved(kept.select(F.col("node").alias("id"), "text"), "class-texts")
+    entries = classes.agg(F.sum(_prefix_column())).first()[0] or 0
+    links = _links(kept, _candidates(kept.withColumn("label", F.col("id")), profiles, entries))
+
+    members = saved(rows.join(classes.drop("n"), "seq", "left"), "members")
+    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    sizes = classes.select(F.col("node").alias("b"), F.col("copies").alias("others"))
+    beside = ends.join(sizes, "b").groupBy(F.col("a").alias("node")).agg(F.sum("others").alias("beside"))
+
+    # an id with several texts ties its classes together, in the component alone
+    several = members.where("node is not null").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")
+    ties = members.join(several, "id").where("node <> a").select("a", F.col("node").alias("b"))
+    found = components(links.unionByName(ties), "a", "b")
+    tops = found.join(classes.select("node", "rep"), "node")
+    tops = saved(tops.join(tops.groupBy("label").agg(F.min("rep").alias("top")), "label").select("node", "top"), "tops")
+
+    out = members.join(beside, "node", "left").join(tops, "node", "left")
+    n_links = F.when(F.col("node").isNull(), F.lit(0)).otherwise(F.col("copies") - 1 + F.coalesce("beside", F.lit(0)))
+    documents = out.select(
+        none_or_id(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), F.hex("seq").alias("class_key"),
+        none_or_id(F.col("rep")).alias("class_id"), n_links.cast("long").alias("n_links"),
+        none_or_id(F.coalesce("top", "rep", "id")).alias("component_id"))
+
+    def side(c: str) -> DataFrame:
+        return classes.select(F.col("node").alias(c), F.hex("seq").alias(f"class_{c}"), none_or_id(F.col("rep")).alias(f"id_{c}"),
+                              F.col("copies").alias(f"copies_{c}"))
+
+    pairs = links.join(side("a"), "a").join(side("b"), "b")
+    low = F.col("class_a") < F.col("class_b")
+    columns = [F.when(low, F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}")).alias(f"{c}_{x}")
+               for c in ("class", "id", "copies") for x, y in ("ab", "ba")]
+    return documents, pairs.select(*columns)
+
+
 def _union(links: list[DataFrame]) -> DataFrame:
     out = links[0]
     for more in links[1:]:
