@@ -42,17 +42,25 @@ class BitmapIndex(StoredIndex):
                      files: FileState | None = None) -> tuple[int, int]:
         """Bits are set in map-side partial aggregates: a frequent value costs one container per task and block."""
         newest = df.agg(F.max(VERSION)).first()[0] if VERSION in df.columns else None
-        df = with_files(df)
-        self._note_covered(df, meta, delta_id, files)
-        row = F.col("_metadata.row_index") + 1  # blocks are counted from 1
-        rows = df.select(F.col(meta.column_name).alias("value"), ROW_FILE, row.alias("row"))
-        rows = rows.groupBy("value", ROW_FILE, F.bitmap_bucket_number("row").alias("bucket")).agg(
-            F.bitmap_construct_agg(F.bitmap_bit_position("row")).alias("bitmap"))
-        self._write_postings(rows, meta.gen, delta_id)
+        self._note_covered(with_files(df), meta, delta_id, files)
+        self._write_postings(self._containers(df, meta), meta.gen, delta_id)
         added = self.spark.read.schema("bitmap binary").parquet(
             f"{self.path}/postings/gen={meta.gen}/delta_id={delta_id}").agg(F.sum(F.bitmap_count("bitmap"))).first()[0]
         return added or 0, meta.covered_version if newest is None else max(newest, meta.covered_version)
 
+    @staticmethod
+    def _containers(df: DataFrame, meta: IndexMeta) -> DataFrame:
+        row = F.col("_metadata.row_index") + 1  # blocks are counted from 1
+        rows = with_files(df).select(F.col(meta.column_name).alias("value"), ROW_FILE, row.alias("row"))
+        return rows.groupBy("value", ROW_FILE, F.bitmap_bucket_number("row").alias("bucket")).agg(
+            F.bitmap_construct_agg(F.bitmap_bit_position("row")).alias("bitmap"))
+
+    def expected_entries(self, df: DataFrame, meta: IndexMeta) -> DataFrame:
+        return self._hashed(self._containers(df, meta), meta)
+
+    def _hashed(self, entries: DataFrame, meta: IndexMeta) -> DataFrame:
+        return entries.select(ROW_FILE, F.bitmap_count("bitmap").alias("weight"), F.xxhash64("value", "bucket", "bitmap").alias("hash"))
+
     def _write_postings(self, rows: DataFrame, gen: int, delta_id: int) -> None:
         super()._write_postings(rows.repartitionByRange("value", *PLACE).sortWithinPartitions("value", *PLACE), gen, delta_id)
 

@@ -297,6 +297,13 @@ class IvfIndex(StoredIndex):
              .write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("part_id")
              .parquet(f"{self.path}/postings/gen={gen}/delta_id={delta_id}"))
 
+    def expected_entries(self, df: DataFrame, meta: IndexMeta) -> DataFrame:
+        rows = with_files(df).where(F.col(meta.column_name).isNotNull())
+        return self._hashed(rows.select(meta.key_name, ROW_FILE, meta.column_name), meta)
+
+    def _hashed(self, entries: DataFrame, meta: IndexMeta) -> DataFrame:
+        return entries.select(ROW_FILE, F.lit(1).alias("weight"), F.xxhash64(meta.key_name, meta.column_name).alias("hash"))
+
     # reading
 
     def probes(self, vectors: np.ndarray, nprobes: int) -> np.ndarray:

@@ -230,6 +230,19 @@ class StoredIndex:
                 delete_path(self.spark, f"{self.path}/{kind}/gen={gen}")
         return len(dropped["postings"])
 
+    # what a check compares: ``row_file``, ``weight`` (rows that an entry stands for), ``hash``
+
+    def held_entries(self, meta: IndexMeta) -> DataFrame:
+        """Entries as they are stored."""
+        return self._hashed(self.postings(meta), meta)
+
+    def expected_entries(self, df: DataFrame, meta: IndexMeta) -> DataFrame:
+        """Entries that the rows of ``df`` should have."""
+        raise NotImplementedError
+
+    def _hashed(self, entries: DataFrame, meta: IndexMeta) -> DataFrame:
+        raise NotImplementedError
+
     # statistics
 
     def live_stats(self, table: DataFrame) -> DataFrame:

@@ -127,6 +127,13 @@ class TextIndex(StoredIndex):
             F.sum("n_docs")).first()[0]
         return added or 0, meta.covered_version if newest is None else max(newest, meta.covered_version)
 
+    def expected_entries(self, df: DataFrame, meta: IndexMeta) -> DataFrame:
+        rows = with_files(df).select(meta.key_name, ROW_FILE, meta.column_name)
+        return self._hashed(build_postings(rows, [meta.key_name, ROW_FILE], meta.column_name), meta)
+
+    def _hashed(self, entries: DataFrame, meta: IndexMeta) -> DataFrame:
+        return entries.select(ROW_FILE, F.lit(1).alias("weight"), F.xxhash64("token", "tf", "dl", meta.key_name).alias("hash"))
+
     def _segment(self, meta: IndexMeta, delta_id: int, schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.path}/postings/gen={meta.gen}/delta_id={delta_id}")
 

@@ -14,7 +14,9 @@ from pyspark.sql import SparkSession
 from tessera.functions.scalars import ts
 from tessera.operators.embedding import HASH_MODEL, embed_table, hash_encoder
 from tessera.operators.index_catalog import build_index, merge_all, open_index, optimize_all
+from tessera.operators.index_check import health_all
 from tessera.operators.upkeep import (KEEP_VERSIONS, compact, delete_from_table, expired, ranked_versions)
+from tessera.plans.lifecycle import rebuild_action
 from tessera.sources.paths import delete_path
 from tessera.sources.tables import VERSION
 
@@ -88,6 +90,14 @@ def index_optimize(spark: SparkSession, params: Mapping) -> dict:
     return {"rows_added": added, "covered_version": index.meta().covered_version}
 
 
+@task("INDEX_CHECK")
+def index_check(spark: SparkSession, params: Mapping) -> dict:
+    """What each of the table's indexes needs, from its postings, its coverage and the settings in ``params``, by index name."""
+    path, root = required(params, "path", "index_root")
+    found = rebuild_action(health_all(spark.read.parquet(path), root, params.get("params")))
+    return {"indexes": [r.asDict() for r in found.select("index_name", "index_type", "coverage", "bad_files", "action").collect()]}
+
+
 @task("INDEX_MERGE")
 def index_merge(spark: SparkSession, params: Mapping) -> dict:
     """Fold the deltas of one index, or with ``index_root`` and ``path`` of all of a table's."""

@@ -3,12 +3,13 @@ where SQL is to repeat the result; trained ones are judged by recall."""
 
 from pyspark.sql import functions as F
 
-from tessera.operators import (bitmap_index as bm, index_catalog as ic, ivf, scalar_index as si, search as se,
+from tessera.operators import (bitmap_index as bm, index_catalog as ic, index_check as ix, ivf, scalar_index as si, search as se,
                                text_index as tx, upkeep as up)
 from tessera.plans import lifecycle as lc
 from tessera.queries import given, query
 from tessera.queries.vectors import L2, MEANS, QUERY0, first_vector, label_means, rounded
 from tessera.session import work_path
+from tessera.sources.paths import delete_path
 from tessera.sources import tables as tb
 from tessera.sources.control import control_cte, control_frame
 
@@ -346,8 +347,8 @@ def fts_search(spark, sf):
     return index.search(TERMS, "doc_id", 25).withColumn("score", F.round("score", 6))
 
 
-def followed_documents(spark, sf):
-    """Documents in two appends with an index of each type after the first, then a delete of French rows of the first."""
+def indexed_documents(spark, sf):
+    """Documents in two appends with an index of each type after the first; path of the table and of its indexes."""
     path, root = work_path(spark, "documents"), work_path(spark, "indexes")
     docs = given(spark, sf, "documents")
     tb.write_append(docs.where("doc_id % 4 <> 0").repartition(3, "doc_id"), path, version=1)
@@ -356,6 +357,12 @@ def followed_documents(spark, sf):
     for column in ("lang", "source"):
         ic.build_index(stored, f"{root}/{column}", index_type="BITMAP", key="doc_id", column=column, index_name=f"idx_{column}")
     tb.write_append(docs.where("doc_id % 4 = 0").repartition(2, "doc_id"), path, version=2)
+    return path, root
+
+
+def followed_documents(spark, sf):
+    """:func:`indexed_documents`, then a delete of French rows of the first append."""
+    path, root = indexed_documents(spark, sf)
     up.delete_from_table(spark, path, tb.VERSION, "lang = 'fr' AND ingest_version = 1")
     return spark.read.parquet(path), root
 
@@ -390,6 +397,20 @@ def index_optimize_all(spark, sf):
     return ic.optimize_all(table, root)
 
 
+@query("index_health", """
+WITH c AS (SELECT count(*) FILTER (doc_id % 4 <> 0) / count(*)::DOUBLE AS coverage FROM documents)
+SELECT name AS index_name, kind AS index_type, round(coverage, 6) AS coverage, damaged,
+  CASE WHEN damaged OR changed THEN 'REBUILD' WHEN coverage < 0.8 THEN 'OPTIMIZE' ELSE 'NONE' END AS action
+FROM c, (VALUES ('idx_lang', 'BITMAP', false, false), ('idx_source', 'BITMAP', true, false),
+  ('idx_text', 'FTS', false, true)) AS t(name, kind, damaged, changed)""")
+def index_health(spark, sf):
+    """Three indexes that have read the first append: one is sound, one lost its postings, one is asked for with other buckets."""
+    path, root = indexed_documents(spark, sf)
+    delete_path(spark, f"{root}/source/postings/gen=0/delta_id=0")
+    found = ix.health_all(spark.read.parquet(path), root, {"idx_text": {"buckets": 128}})
+    return lc.rebuild_action(found).select("index_name", "index_type", F.round("coverage", 6).alias("coverage"), "damaged", "action")
+
+
 # --- scalar indexes ----------------------------------------------------------------------
 
 LOW, HIGH = "1997-01-01 00:00:00", "1997-06-30 00:00:00"
