@@ -388,6 +388,15 @@ def fts_search_merged(spark, sf):
     return ic.open_index(spark, f"{root}/text").search(TERMS, "doc_id", 25).withColumn("score", F.round("score", 6))
 
 
+@query("fts_search_pruned", bm25_sql(LIVE_DOCUMENTS))
+def fts_search_pruned(spark, sf):
+    """A small first pass, so that postings without influence are skipped; the ranking is that of all postings."""
+    table, root = followed_documents(spark, sf)
+    ic.optimize_all(table, root)
+    index = ic.open_index(spark, f"{root}/text")
+    return index.search(TERMS, "doc_id", 25, table, seed_rows=100).withColumn("score", F.round("score", 6))
+
+
 @query("index_optimize_all", LIVE_DOCUMENTS + """
 SELECT name AS index_name, kind AS index_type, (SELECT count(*) FROM live) AS rows, 2::BIGINT AS covered_version
 FROM (VALUES ('idx_lang', 'BITMAP'), ('idx_source', 'BITMAP'), ('idx_text', 'FTS')) AS t(name, kind)""")
