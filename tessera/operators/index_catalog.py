@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.operators.bitmap_index import BitmapIndex
 from tessera.operators.ivf import IvfIndex
+from tessera.operators.refit import merge_refitted
 from tessera.operators.stored_index import StoredIndex
 from tessera.operators.text_index import TextIndex
 from tessera.sources.paths import child_folders
@@ -54,10 +55,15 @@ def optimize_all(table: DataFrame, root: str) -> DataFrame:
     return table.sparkSession.createDataFrame(rows, REPORT)
 
 
-def merge_all(table: DataFrame, root: str) -> DataFrame:
+def merge_index(index: StoredIndex, table: DataFrame | None = None, refit: bool = False) -> int:
+    """Fold the deltas of one index; with ``refit``, a vector index has its uneven partitions fitted anew."""
+    return merge_refitted(index, table) if refit and isinstance(index, IvfIndex) else index.merge(table)
+
+
+def merge_all(table: DataFrame, root: str, refit: bool = False) -> DataFrame:
     """Every index below ``root`` folds its deltas and leaves out files that the table lost; a row each with the deltas folded."""
     rows = []
     for index in indexes_below(table.sparkSession, root):
-        folded, meta = index.merge(table), index.meta()
+        folded, meta = merge_index(index, table, refit), index.meta()
         rows.append((meta.index_name, meta.index_type, folded, meta.covered_version))
     return table.sparkSession.createDataFrame(rows, REPORT)

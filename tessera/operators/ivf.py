@@ -197,27 +197,30 @@ class IvfIndex(StoredIndex):
 
     def __init__(self, spark: SparkSession, path: str):
         super().__init__(spark, path)
-        self._model: tuple[list[int], np.ndarray] | None = None
-        self._books: list[np.ndarray] | None = None
+        # by generation of the model
+        self._models: dict[int, tuple[list[int], np.ndarray]] = {}
+        self._all_books: dict[int, list[np.ndarray]] = {}
 
     # state
 
-    def centroids(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/model/gen={self.meta().model_gen}/centroids")
+    def centroids(self, meta: IndexMeta | None = None) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/model/gen={(meta or self.meta()).model_gen}/centroids")
 
-    def codebooks(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/model/gen={self.meta().model_gen}/codebooks")
+    def codebooks(self, meta: IndexMeta | None = None) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/model/gen={(meta or self.meta()).model_gen}/codebooks")
 
-    def model(self) -> tuple[list[int], np.ndarray]:
-        """Partition ids and centroids on the driver; read once, a build changes them and nothing else does."""
-        if self._model is None:
-            self._model = local_matrix(self.centroids(), "part_id", "centroid")
-        return self._model
+    def model(self, meta: IndexMeta | None = None) -> tuple[list[int], np.ndarray]:
+        """Partition ids and centroids on the driver; read once for each generation of the model."""
+        meta = meta or self.meta()
+        if meta.model_gen not in self._models:
+            self._models = {meta.model_gen: local_matrix(self.centroids(meta), "part_id", "centroid")}
+        return self._models[meta.model_gen]
 
-    def books(self) -> list[np.ndarray]:
-        if self._books is None:
-            self._books = local_codebooks(self.codebooks())
-        return self._books
+    def books(self, meta: IndexMeta | None = None) -> list[np.ndarray]:
+        meta = meta or self.meta()
+        if meta.model_gen not in self._all_books:
+            self._all_books = {meta.model_gen: local_codebooks(self.codebooks(meta))}
+        return self._all_books[meta.model_gen]
 
     # writing
 
@@ -246,28 +249,35 @@ class IvfIndex(StoredIndex):
             training = df.sparkSession.read.parquet(chosen)
         if centroids is None:
             centroids = train_centroids(training, column, num_partitions, seed)
-        part_ids, matrix = index._model = local_matrix(centroids, "part_id", "centroid")
-        dim = matrix.shape[1]
-        index.spark.createDataFrame([(int(p), c.tolist()) for p, c in zip(part_ids, matrix)],
-                                    "part_id int, centroid array<double>").coalesce(1).write.mode(
-            "overwrite").parquet(f"{path}/model/gen={gen}/centroids")
+        part_ids, matrix = local_matrix(centroids, "part_id", "centroid")
+        dim, books = matrix.shape[1], None
         if index_type == "IVF_PQ":
             if codebooks is None:
                 check_sub_vectors(dim, num_sub_vectors or 0)
                 assigned = assign_partitions(training, column, part_ids, matrix)
                 left = assigned.select(residual(column, "part_id", part_ids, matrix).alias("residual"))
                 codebooks = train_codebooks(left, "residual", dim, num_sub_vectors, codes)
-            index._books = local_codebooks(codebooks)
-            index.spark.createDataFrame(
-                [(m, c, w.tolist()) for m, book in enumerate(index._books) for c, w in enumerate(book)],
-                "sub int, code int, codeword array<double>").coalesce(1).write.mode(
-                "overwrite").parquet(f"{path}/model/gen={gen}/codebooks")
+            books = local_codebooks(codebooks)
+            index._all_books[gen] = books
+        index._models[gen] = part_ids, matrix
+        index._write_model(gen, part_ids, matrix, books)
         params = json.dumps({"num_partitions": len(part_ids), "num_sub_vectors": num_sub_vectors}, sort_keys=True)
         meta = IndexMeta(meta_id, gen, 0, 0, index_name, column, key, index_type, metric, dim, params, gen)
         _, covered = index._write_delta(df, meta, 0)
         index._commit(replace(meta, covered_version=covered))
         return index
 
+    def _write_model(self, gen: int, part_ids: Sequence[int], matrix: np.ndarray, books: list[np.ndarray] | None) -> None:
+        """Store centroids and codebooks as one generation of the model."""
+        self.spark.createDataFrame([(int(p), c.tolist()) for p, c in zip(part_ids, matrix)],
+                                   "part_id int, centroid array<double>").coalesce(1).write.mode(
+            "overwrite").parquet(f"{self.path}/model/gen={gen}/centroids")
+        if books is not None:
+            self.spark.createDataFrame(
+                [(m, c, w.tolist()) for m, book in enumerate(books) for c, w in enumerate(book)],
+                "sub int, code int, codeword array<double>").coalesce(1).write.mode(
+                "overwrite").parquet(f"{self.path}/model/gen={gen}/codebooks")
+
     def _write_delta(self, df: DataFrame, meta: IndexMeta, delta_id: int,
                      files: FileState | None = None) -> tuple[int, int]:
         """One scan reads the vectors; the newest version needs its column alone, and rows are counted in what was written."""
@@ -276,11 +286,11 @@ class IvfIndex(StoredIndex):
             df = df.withColumn(VERSION, F.lit(0).cast("long"))
         newest = df.agg(F.max(VERSION)).first()[0]
         self._note_covered(df, meta, delta_id, files)
-        part_ids, matrix = self.model()
+        part_ids, matrix = self.model(meta)
         rows = assign_partitions(df.select(meta.key_name, VERSION, ROW_FILE, meta.column_name), meta.column_name,
                                  part_ids, matrix)
         if meta.index_type == "IVF_PQ":
-            rows = rows.withColumn("code", encode(residual(meta.column_name, "part_id", part_ids, matrix), self.books()))
+            rows = rows.withColumn("code", encode(residual(meta.column_name, "part_id", part_ids, matrix), self.books(meta)))
         self._write_postings(rows.withColumn(VERSION, F.col(VERSION).cast("long")).withColumnRenamed(VERSION, "row_version"), meta.gen, delta_id)
         added = self.spark.read.schema("row_version long").parquet(
             f"{self.path}/postings/gen={meta.gen}/delta_id={delta_id}").count()
@@ -306,9 +316,9 @@ class IvfIndex(StoredIndex):
 
     # reading
 
-    def probes(self, vectors: np.ndarray, nprobes: int) -> np.ndarray:
+    def probes(self, vectors: np.ndarray, nprobes: int, meta: IndexMeta | None = None) -> np.ndarray:
         """Ids of the ``nprobes`` closest partitions per query, closest first."""
-        near = nearest_partitions(*self.model(), nprobes)
+        near = nearest_partitions(*self.model(meta), nprobes)
         return np.asarray([near(v) for v in vectors])
 
     def search_join(self, queries: DataFrame, qid: str, qvec: str, k: int = K_DEFAULT, nprobes: int = 1,
@@ -333,8 +343,8 @@ class IvfIndex(StoredIndex):
         flat = meta.index_type == "IVF_FLAT"
         value = meta.column_name if flat else "code"
         score = flat_score(meta.key_name, value, meta.dim) if flat else self._code_score(meta)
-        row_bytes = 8 * (meta.dim if flat else len(self.books()))
-        hits = block_join(self._probing(asked, qid, qvec, nprobes), postings.select(PART, meta.key_name, value), qid, qvec,
+        row_bytes = 8 * (meta.dim if flat else len(self.books(meta)))
+        hits = block_join(self._probing(meta, asked, qid, qvec, nprobes), postings.select(PART, meta.key_name, value), qid, qvec,
                           meta.key_name, want, meta.metric, meta.dim, row_bytes, score)
         if refine_factor is not None:
             order = Window.partitionBy(qid).orderBy(DISTANCE, meta.key_name)
@@ -350,10 +360,10 @@ class IvfIndex(StoredIndex):
                                               meta.dim).select(qid, meta.key_name, DISTANCE))
         return best_of(hits, qid, meta.key_name, k)
 
-    def _probing(self, queries: DataFrame, qid: str, qvec: str, nprobes: int) -> DataFrame:
+    def _probing(self, meta: IndexMeta, queries: DataFrame, qid: str, qvec: str, nprobes: int) -> DataFrame:
         """``part_id``, ``qid``, ``qvec``: a row for each partition that a query probes."""
-        dim = self.meta().dim
-        part_ids, matrix = self.model()
+        dim = meta.dim
+        part_ids, matrix = self.model(meta)
         near = nearest_partitions(part_ids, matrix, nprobes)
 
         @F.arrow_udf(T.ArrayType(T.IntegerType()))
@@ -365,8 +375,8 @@ class IvfIndex(StoredIndex):
 
     def _code_score(self, meta: IndexMeta) -> Score:
         """Distances from codes, by one lookup table per query and slice."""
-        part_ids, matrix = self.model()
-        row_of, books, key = dict(zip(part_ids, range(len(part_ids)))), self.books(), meta.key_name
+        part_ids, matrix = self.model(meta)
+        row_of, books, key = dict(zip(part_ids, range(len(part_ids)))), self.books(meta), meta.key_name
 
         def score(best: TopK, part: int, rows: pa.Table) -> None:
             codes = rows.column("code").combine_chunks().flatten().to_numpy().reshape(-1, len(books))
@@ -383,12 +393,12 @@ class IvfIndex(StoredIndex):
         """Search of one query block over the partitions it probes."""
         flat = meta.index_type == "IVF_FLAT"
         value = meta.column_name if flat else "code"
-        part_ids, matrix = self.model()
+        part_ids, matrix = self.model(meta)
         row_of = dict(zip(part_ids, range(len(part_ids))))
-        books = None if flat else self.books()
+        books = None if flat else self.books(meta)
 
         def run(block: QueryBlock) -> DataFrame:
-            probed = self.probes(block.matrix, nprobes)
+            probed = self.probes(block.matrix, nprobes, meta)
             wanted: dict[int, list[int]] = {}
             for q, parts in enumerate(probed):
                 for p in parts:
@@ -441,7 +451,7 @@ class IvfIndex(StoredIndex):
         one = QueryBlock([0], T.IntegerType(), [vector])
         hits = self._searcher(meta, postings, "_q", want, nprobes)(one).select(meta.key_name, DISTANCE)
         if refine_factor is not None:
-            probed = [int(p) for p in self.probes(one.matrix, nprobes)[0]]
+            probed = [int(p) for p in self.probes(one.matrix, nprobes, meta)[0]]
             listed = short_list(hits.select(meta.key_name), want)
             candidates = postings.where(F.col("part_id").isin(probed)).join(listed, meta.key_name, "left_semi")
             hits = nearest(candidates, vector, meta.column_name, meta.key_name, k, meta.metric).select(

@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 
 from tessera.functions.scalars import ts
 from tessera.operators.embedding import HASH_MODEL, embed_table, hash_encoder
-from tessera.operators.index_catalog import build_index, merge_all, open_index, optimize_all
+from tessera.operators.index_catalog import build_index, merge_all, merge_index, open_index, optimize_all
 from tessera.operators.index_check import health_all
 from tessera.operators.upkeep import (KEEP_VERSIONS, compact, delete_from_table, expired, ranked_versions)
 from tessera.plans.lifecycle import rebuild_action
@@ -100,12 +100,13 @@ def index_check(spark: SparkSession, params: Mapping) -> dict:
 
 @task("INDEX_MERGE")
 def index_merge(spark: SparkSession, params: Mapping) -> dict:
-    """Fold the deltas of one index, or with ``index_root`` and ``path`` of all of a table's."""
+    """Fold the deltas of one index, or with ``index_root`` and ``path`` of all of a table's; ``refit`` evens out partitions."""
     if params.get("index_root"):
         (path,) = required(params, "path")
-        return {"indexes": [r.asDict() for r in merge_all(spark.read.parquet(path), params["index_root"]).collect()]}
+        return {"indexes": [r.asDict() for r in merge_all(
+            spark.read.parquet(path), params["index_root"], bool(params.get("refit"))).collect()]}
     (index_path,) = required(params, "index_path")
-    return {"deltas_folded": open_index(spark, index_path).merge()}
+    return {"deltas_folded": merge_index(open_index(spark, index_path), refit=bool(params.get("refit")))}
 
 
 @task("INDEX_CLEANUP")

@@ -3,7 +3,7 @@ where SQL is to repeat the result; trained ones are judged by recall."""
 
 from pyspark.sql import functions as F
 
-from tessera.operators import (bitmap_index as bm, index_catalog as ic, index_check as ix, ivf, scalar_index as si, search as se,
+from tessera.operators import (bitmap_index as bm, index_catalog as ic, index_check as ix, ivf, refit as rf, scalar_index as si, search as se,
                                text_index as tx, upkeep as up)
 from tessera.plans import lifecycle as lc
 from tessera.queries import given, query
@@ -112,6 +112,48 @@ def ivf_knn_join_mixed(spark, sf):
     return rounded(index.search_join(queries, "query_id", "qv", 5, nprobes=2, table=table))
 
 
+def drifted_index(spark, sf):
+    """An index fitted to labels 0-2 that then takes up all others."""
+    path, rows = work_path(spark, "vectors"), given(spark, sf, "embeddings")
+    tb.write_append(rows.where("label < 3").repartition(1, "vec_id"), path, version=1)
+    index = ivf.IvfIndex.build(spark.read.parquet(path), work_path(spark, "ivf"), key="vec_id", column="embedding",
+                               index_name="idx_drift", num_partitions=12)
+    tb.write_append(rows.where("label >= 3").repartition(2, "vec_id"), path, version=2)
+    table = spark.read.parquet(path)
+    index.optimize(table)
+    return index, table
+
+
+@query("index_merge_refit", f"""
+SELECT query_id, vec_id, round(d, 6) AS distance, CAST(rank AS INT) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM (
+    SELECT q.vec_id AS query_id, e.vec_id, {L2.format(a="e.embedding", b="q.embedding")} AS d FROM embeddings q, embeddings e))
+WHERE rank <= 5""")
+def index_merge_refit(spark, sf):
+    """After partitions were split and given up, a search of all of them finds what an exact one does."""
+    index, table = drifted_index(spark, sf)
+    rf.merge_refitted(index, table, overfull=1.5, starved=0.5)
+    queries = table.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+    return rounded(index.search_join(queries, "query_id", "qv", 5, nprobes=index.centroids().count()))
+
+
+@query("ivf_refit_recall")
+def ivf_refit_recall(spark, sf):
+    """Recall of 10 neighbours and the largest partition's share of rows, before and after; a quarter of the partitions is probed."""
+    index, table = drifted_index(spark, sf)
+    queries = table.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+    truth = se.knn_join(queries, "query_id", "qv", table, "vec_id", "embedding", 10)
+    parts = []
+    for state in ("before", "after"):
+        if state == "after":
+            rf.merge_refitted(index, table, overfull=1.5, starved=0.5)
+        probes = -(-index.centroids().count() // 4)
+        largest = index.postings().groupBy("part_id").count().agg((F.max("count") / F.sum("count")).alias("largest_share"))
+        found = index.search_join(queries, "query_id", "qv", 10, nprobes=probes)
+        parts.append(se.recall(found, truth, "query_id", "vec_id").crossJoin(largest).withColumn("state", F.lit(state)))
+    return parts[0].unionByName(parts[1])
+
+
 @query("index_optimize", f"""WITH {ASSIGNED}
 SELECT CAST({VERSION_OF} - 1 AS INT) AS delta_id, part_id, count(*) AS row_count FROM assigned GROUP BY ALL""")
 def index_optimize(spark, sf):
