@@ -43,8 +43,9 @@ TOKEN_CHARACTERS = b"abcdefghijklmnopqrstuvwxyz0123456789"
 # Query terms become a literal list; a longer query is refused.
 MAX_TERMS = 1000
 BUCKETS = 64
-# Postings that a search reads first, to learn what the k-th best row scores at least.
-SEED_ROWS = 10_000
+# Postings that a search reads first, to learn what the k-th best row scores at least. One task sums up as many in less
+# time than a further job takes to start, so a search with fewer is a single sum.
+SEED_ROWS = 200_000
 # A scan gets at most so many ranges of cells as a filter; beyond that it filters by token alone.
 MAX_RANGES = 64
 BLOCK_SCHEMA = f"token string, {ROW_FILE} string, cell int, n long, max_tf long, min_dl long, sum_tf long, delta_id int, bucket int"
