@@ -321,11 +321,14 @@ class IvfIndex(StoredIndex):
         near = nearest_partitions(*self.model(meta), nprobes)
         return np.asarray([near(v) for v in vectors])
 
-    def search_join(self, queries: DataFrame, qid: str, qvec: str, k: int = K_DEFAULT, nprobes: int = 1,
+    def search_join(self, queries: DataFrame, qid: str, qvec: str, k: int | None = K_DEFAULT, nprobes: int = 1,
                     refine_factor: int | None = None, table: DataFrame | None = None,
                     include_unindexed: bool = True) -> DataFrame:
         """Approximate k nearest per query: ``(qid, key, _distance, rank)``; any number of queries.
 
+        With ``k`` None, every row of the probed partitions that has a distance: ``(qid, key, _distance)``, unranked, so no
+        task holds or orders the rows of a query.
+
         Queries are exploded to the partitions they probe and meet their postings there, in blocks of bounded size
         (:mod:`tessera.operators.block_join`); neither side passes the driver, and the postings are read once. With
         ``refine_factor`` the best ``refine_factor * k`` of each query are ranked again by exact distance. ``table`` works
@@ -333,12 +336,25 @@ class IvfIndex(StoredIndex):
         exactly. Queries without a vector have no rows.
         """
         meta = self.meta()
-        check_k(k)
+        if k is not None:
+            check_k(k)
+        elif refine_factor is not None:
+            raise ValueError("refine_factor needs a k")
         if refine_factor is not None and refine_factor < 1:
             raise ValueError(f"refine_factor must be at least 1, got {refine_factor}")
         files = self.file_state(table, meta)
         postings = self._alive(self.postings(meta), files)
         asked = queries.where(F.col(qvec).isNotNull()).select(qid, qvec)
+        if k is None:
+            pairs = self._probing(meta, asked, qid, qvec, nprobes).withColumnRenamed(qvec, "_asked").join(
+                postings.withColumnRenamed(meta.key_name, "_key"), PART)
+            hits = pairs.select(qid, F.col("_key").alias(meta.key_name), self._pair_distance(meta).alias(DISTANCE))
+            if include_unindexed and table is not None and (files is None or files.fresh):
+                fresh = table.where(self._unindexed(table, meta, files) & F.col(meta.column_name).isNotNull())
+                exact = pair_distance(meta.column_name, "_asked", meta.dim, meta.metric).alias(DISTANCE)
+                hits = hits.unionByName(fresh.select(meta.key_name, meta.column_name).crossJoin(
+                    asked.withColumnRenamed(qvec, "_asked")).select(qid, meta.key_name, exact))
+            return hits.where(F.col(DISTANCE) < float("inf"))  # NaN is above infinity
         want = k * (refine_factor or 1)
         flat = meta.index_type == "IVF_FLAT"
         value = meta.column_name if flat else "code"
@@ -373,6 +389,22 @@ class IvfIndex(StoredIndex):
 
         return queries.withColumn("_parts", probed(qvec)).select(F.explode("_parts").alias(PART), qid, qvec)
 
+    def _pair_distance(self, meta: IndexMeta) -> Column:
+        """Distance of each posting to the query ``_asked`` beside it, from its vector or its code."""
+        if meta.index_type == "IVF_FLAT":
+            return pair_distance(meta.column_name, "_asked", meta.dim, meta.metric)
+        part_ids, matrix = self.model(meta)
+        books, dim = self.books(meta), meta.dim
+
+        @F.arrow_udf(T.DoubleType())
+        def coded(parts: pa.Array, asked: pa.Array, codes: pa.Array) -> pa.Array:
+            ids, order = np.asarray(part_ids), np.argsort(part_ids)
+            at = order[np.searchsorted(ids[order], parts.to_numpy(zero_copy_only=False))]
+            left = matrix_of(asked, dim)[0] - matrix[at]
+            return pa.array(adc_distance(left, codes.flatten().to_numpy().reshape(-1, len(books)), books))
+
+        return coded(PART, "_asked", "code")
+
     def _code_score(self, meta: IndexMeta) -> Score:
         """Distances from codes, by one lookup table per query and slice."""
         part_ids, matrix = self.model(meta)
@@ -474,12 +506,12 @@ def nearest_partitions(part_ids: Sequence[int], matrix: np.ndarray, nprobes: int
 
 
 def adc_distance(query_residual: np.ndarray, codes: np.ndarray, books: list[np.ndarray]) -> np.ndarray:
-    """Asymmetric distance: one lookup table per slice, summed over the codes."""
+    """Asymmetric distance of one query, by a lookup table per slice summed over the codes, or of a query for each row."""
     width = books[0].shape[1]
     total = np.zeros(len(codes))
     for m, book in enumerate(books):
-        table = row_distance(book, query_residual[m * width:(m + 1) * width], "l2")
-        total += table[codes[:, m]]
+        piece = query_residual[..., m * width:(m + 1) * width]
+        total += row_distance(book, piece, "l2")[codes[:, m]] if piece.ndim == 1 else row_distance(book[codes[:, m]], piece, "l2")
     return total
 
 

@@ -106,6 +106,24 @@ def test_pq_distance_is_the_distance_to_the_decoded_vector(spark, path):
         assert got[r["id"]] == pytest.approx(((q - decoded) ** 2).sum())
 
 
+@pytest.mark.parametrize("options", [{}, {"index_type": "IVF_PQ", "num_sub_vectors": 2, "codes": 8}])
+def test_join_without_k_gives_every_row_its_distance(spark, tmp_path, options):
+    path = str(tmp_path / "rows")
+    tb.write_append(rows_of(spark, 1500, 4), path, version=1)  # more than K_MAX
+    index = build(spark.read.parquet(path), str(tmp_path / "index"), **options)
+    odd = [(1600, [1.0, 2.0, 3.0, 4.0]), (1601, None), (1602, [float("nan")] * 4)]
+    tb.write_append(spark.createDataFrame(odd, "id long, vec array<float>"), path, version=2)
+    table = spark.read.parquet(path)
+    queries = spark.createDataFrame([(0, [0.5, 0.0, -1.0, 2.0]), (1, [1.0, 1.0, 1.0, 1.0]), (2, None)], "q int, v array<double>")
+    every = index.search_join(queries, "q", "v", None, 4, table=table)
+    got = {(r["q"], r["id"]): r["_distance"] for r in every.collect()}
+    assert every.columns == ["q", "id", "_distance"] and len(got) == every.count() == 2 * 1501
+    best = index.search_join(queries, "q", "v", 1000, 4, table=table).collect()
+    assert len(best) == 2000 and all(got[r["q"], r["id"]] == r["_distance"] for r in best)
+    with pytest.raises(ValueError, match="needs a k"):
+        index.search_join(queries, "q", "v", None, 4, refine_factor=2)
+
+
 def test_hot_partition_keeps_every_row(spark, path):
     one_spot = spark.createDataFrame([(i, [1.0, 2.0] if i % 3 else [float(i), -4.0]) for i in range(900)],
                                      "id long, vec array<float>")
