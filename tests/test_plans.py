@@ -102,6 +102,27 @@ def test_plan_is_idempotent_within_its_bucket(spark):
     assert len(plan(spark, [FULL], existing=keys, when=NOW + timedelta(days=1))) == 3
 
 
+def test_vectorize_tasks_meet_existing_keys_of_their_kind_only(spark):
+    rules, vectorize = [(8, "d1", True), (9, "d1", True)], "t1:lifecycle:1:{}:VECTORIZE:2024050607".format
+    both = [("VECTORIZE", vectorize(8)), ("VECTORIZE", vectorize(9))]
+    ttl = "t1:lifecycle:1:TTL_DELETE:20240506"
+    assert plan(spark, [TTL], existing=[ttl, None, vectorize(8).replace("07", "06")], rules=rules) == both
+    assert plan(spark, [TTL], existing=[ttl, vectorize(8)], rules=rules) == both[1:]
+    assert plan(spark, [TTL], existing=[*(k for _, k in both)], rules=rules) == [("TTL_DELETE", ttl)]
+
+
+def test_the_product_of_policies_and_rules_is_not_shuffled(spark):
+    policies = spark.createDataFrame([TTL], POLICY)
+    datasets = spark.createDataFrame([("d1", "t1")], "dataset_uuid string, tenant_id string")
+    indexes = spark.createDataFrame([], "dataset_uuid string, index_name string, status string, delta_count int")
+    rules = spark.createDataFrame([(8, "d1", True)], "rule_id long, dataset_uuid string, enabled boolean")
+    earlier = lc.policy_tasks(policies, datasets, clock()).select("idempotency_key")
+    tasks = lc.lifecycle_plan(policies, datasets, indexes, rules, clock(), earlier)
+    text = tasks._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("LeftAnti") == 2  # one for policy tasks, one for hot indexes: none for the product
+    assert "RepartitionByExpression [policy_id" in text
+
+
 def test_hot_indexes_are_optimised_without_a_schedule(spark):
     indexes = [("d1", "hot", "READY", 10), ("d1", "cool", "READY", 9), ("d1", "busy", "OPTIMIZING", 50)]
     two = [TTL, (2, "d1", "q", True, None, None, None)]
