@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +99,16 @@ def test_a_single_term_reads_only_cells_that_matter(spark, tmp_path):
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(cell," in plan or "EqualTo(cell," in plan
     assert frame.count() == 3 and tx.SEED_ROWS > 0
+
+
+def test_text_is_tokenised_in_pieces_of_bounded_size():
+    texts = ["ab c"] * 5 + [None, ""] + ["x y " * 8] * 4
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(len(texts)))], ["text", "id"])
+    pieces = list(tx.text_pieces(batch, 40))
+    assert [r for p in pieces for r in p.to_pylist()] == batch.to_pylist()
+    assert all(sum(len(t or "") for t in p.column(0).to_pylist()[:-1]) < 40 for p in pieces) and len(pieces) > 2
+    schema = pa.schema([("token", pa.string()), ("tf", pa.int64()), ("dl", pa.int64()), ("id", pa.int64())])
+    whole = tx.token_counts(batch.filter(pa.array([t is not None for t in texts])), schema).to_pylist()
+    parts = [r for p in pieces for r in tx.token_counts(p.filter(p.column(0).is_valid()), schema).to_pylist()]
+    order = lambda rows: sorted(rows, key=lambda r: (r["id"], r["token"]))
+    assert order(parts) == order(whole)
