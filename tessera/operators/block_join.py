@@ -20,7 +20,9 @@ from tessera.functions.vectors import matrix_of
 from tessera.operators.search import DISTANCE, TopK
 
 #: Bytes of vectors (as doubles) that one side of a cell holds at most, by expectation.
-CELL_BYTES = 32 << 20
+CELL_BYTES = 16 << 20
+#: Tasks for each cell: with several, two cells seldom share one. A task of an empty share costs next to nothing.
+CELL_TASKS, MAX_TASKS = 4, 4096
 PART = "part_id"
 
 #: Offers the rows of one partition (table with key, value columns) to the queries of a running top-k.
@@ -40,12 +42,15 @@ def block_join(queries: DataFrame, rows: DataFrame, qid: str, qvec: str, key: st
     """``(qid, key, part_id, _distance)``: per cell of the grid, the k best rows of each query.
 
     ``queries`` has ``part_id`` (the partitions it probes, a row each), ``qid`` and ``qvec``; ``rows`` has ``part_id``,
-    ``key`` and what ``score`` reads, about ``row_bytes`` a row. Counts per partition are the only thing broadcast.
+    ``key`` and what ``score`` reads, about ``row_bytes`` a row. Counts per partition are the only thing that passes the
+    driver. Cells are few bytes and much work, so their number sets that of the tasks, not their size.
     """
     cell_rows, cell_queries = max(1, CELL_BYTES // row_bytes), max(1, CELL_BYTES // (8 * (dim + 2 * k)))
     sizes = rows.groupBy(PART).agg(F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("_row_blocks")).join(
         queries.groupBy(PART).agg(F.ceil(F.count(F.lit(1)) / cell_queries).cast("int").alias("_query_blocks")), PART)
-    sizes = F.broadcast(sizes)  # a row per partition of the index, bounded by its model
+    grid = sizes.collect()  # a row per partition of the index, bounded by its model
+    sizes = F.broadcast(rows.sparkSession.createDataFrame(grid, sizes.schema))
+    tasks = min(max(1, CELL_TASKS * sum(r["_row_blocks"] * r["_query_blocks"] for r in grid)), MAX_TASKS)
     blocks = ["_row_blocks", "_query_blocks"]
     left = queries.join(sizes, PART).withColumn("_q", _spread(F.col(qid), F.col("_query_blocks"), 1)).withColumn(
         "_r", _every(F.col("_row_blocks"))).drop(*blocks)
@@ -70,6 +75,7 @@ def block_join(queries: DataFrame, rows: DataFrame, qid: str, qvec: str, key: st
         return pa.Table.from_arrays(columns, schema=arrow)
 
     cell = [PART, "_r", "_q"]
+    left, right = left.repartition(tasks, *cell), right.repartition(tasks, *cell)
     return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(match, schema)
 
 

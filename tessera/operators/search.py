@@ -16,7 +16,7 @@ K_MIN, K_MAX, K_DEFAULT = 1, 1000, 10
 DISTANCE = "_distance"
 
 # A query set of up to this size travels to every task; a larger one meets the table in blocks.
-QUERY_BLOCK_BYTES = 64 << 20
+QUERY_BLOCK_BYTES = 8 << 20
 # Cells of one distance matrix inside a task (doubles).
 MATRIX_CELLS = 2 << 20
 # A hit list of up to this many rows (key and distance) is sent to every task of a join.
@@ -104,7 +104,10 @@ class TopK:
         slack = unit * max(float(q_norms.max() + r_norms.max()) ** 2, 1.0)
         if self.metric == "dot":
             return 1.0 - inner, slack
-        return q_norms ** 2 - 2.0 * inner + r_norms ** 2, slack
+        inner *= -2.0
+        inner += q_norms ** 2
+        inner += r_norms ** 2
+        return inner, slack
 
     def update(self, q_index: np.ndarray, rows: np.ndarray, keys: np.ndarray) -> None:
         """Offer ``rows`` to the queries in ``q_index``, as distance matrices of bounded size.
@@ -128,9 +131,14 @@ class TopK:
     def _update_block(self, q_index: np.ndarray, rows: np.ndarray, keys: np.ndarray) -> None:
         approx, slack = self._approximate(q_index, rows)
         bound = self.worst[q_index]
-        if len(rows) > self.k:
-            bound = np.minimum(bound, np.partition(approx, self.k - 1, axis=1)[:, self.k - 1])
-        qi, ri = np.nonzero(approx <= (bound + 2 * slack)[:, None])
+        near = approx <= (bound + 2 * slack)[:, None]
+        # rows themselves bound a query that many of them are near; after the first blocks that is rarely so
+        many = np.flatnonzero(np.count_nonzero(near, axis=1) > self.k)
+        if len(many):
+            own = np.partition(approx[many], self.k - 1, axis=1)[:, self.k - 1]
+            bound[many] = np.minimum(bound[many], own)
+            near[many] = approx[many] <= (bound[many] + 2 * slack)[:, None]
+        qi, ri = np.nonzero(near)
         if len(qi):
             step = max(1, MATRIX_CELLS // rows.shape[1])
             exact = np.concatenate([

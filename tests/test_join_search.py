@@ -51,6 +51,15 @@ def test_join_search_answers_for_the_live_table(spark, path, tmp_path, monkeypat
     assert not {r[2] % 3 for r in want} & {0}
 
 
+def test_cells_are_spread_over_tasks_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(bj, "CELL_BYTES", 3000)
+    rows = rows_of(spark, range(200))
+    parts = bj.flat_join(asked(rows), "q", "qv", rows, "id", "vec", 3, "l2", 8)
+    cells = -(-200 // (3000 // 64)) * -(-200 // (3000 // (8 * (8 + 6))))
+    assert parts.rdd.getNumPartitions() == bj.CELL_TASKS * cells  # few bytes don't become few tasks
+    assert found(bj.best_of(parts, "q", "id", 3)) == found(se.knn_join(asked(rows), "q", "qv", rows, "id", "vec", 3))
+
+
 def test_refined_join_is_exact_where_all_are_candidates(spark, path, tmp_path):
     index, table = followed(spark, path, str(tmp_path / "i"), index_type="IVF_PQ", num_sub_vectors=2, codes=4)
     queries = asked(table).where("q % 5 = 0")
