@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
 from tessera.llm import query
-from tessera.llm.common import batch_of, binary_values, filesystem, given
+from tessera.llm.common import batch_of, binary_values, filesystem, given, release_memory
 from tessera.session import work_path
 
 WINDOW = 13
@@ -99,28 +99,35 @@ def _tables(folder: str, block: int) -> list[WuManber]:
 def _search(batches: Iterator[pa.RecordBatch], folder: str, blocks: list[int], shape: pa.Schema) -> Iterator[pa.RecordBatch]:
     def flush(group: list[pa.RecordBatch]) -> pa.Table:
         table = pa.Table.from_batches(group)
-        docs = [words_of(t) for t in binary_values(table.column(table.num_columns - 1).combine_chunks())]  # the text comes last
-        hit = [bytearray(len(d)) for d in docs]
-        items: list[set[str]] = [set() for _ in docs]
-        for block in blocks:
-            for search in _tables(folder, block):
-                ones = b"\x01" * search.length
-                for words, marks, named in zip(docs, hit, items):
+        texts = table.column(table.num_columns - 1)  # the text comes last
+        n_words, hit = [0] * len(texts), [None] * len(texts)
+        items: list[set[str]] = [set() for _ in range(len(texts))]
+        for block in blocks or [None]:
+            searches = [] if block is None else _tables(folder, block)
+            for at, text in enumerate(text for part in texts.chunks for text in part.cast(pa.binary())):
+                words = words_of(text.as_py())  # of one document at a time
+                n_words[at] = len(words)
+                marks = hit[at]
+                for search in searches:
                     for start, found in search.search(words):
-                        marks[start:start + search.length] = ones
-                        named.update(found)
+                        if marks is None:
+                            marks = hit[at] = bytearray(len(words))
+                        marks[start:start + search.length] = b"\x01" * search.length
+                        items[at].update(found)
         table = table.remove_column(table.num_columns - 1)
-        for name, values in (("n_words", [len(d) for d in docs]), ("n_hit", [sum(h) for h in hit]), ("items", [sorted(s) for s in items])):
+        for name, values in (("n_words", n_words), ("n_hit", [sum(h or b"") for h in hit]), ("items", [sorted(s) for s in items])):
             table = table.append_column(name, pa.array(values, shape.field(name).type))
         return table
 
+    release_memory()
+    enough = GROUP_BYTES if len(blocks) > 1 else 0  # a single table stays open
     group, size = [], 0
     for batch in batches:
         for low in range(0, batch.num_rows, 1024):
             part = batch.slice(low, 1024)
             group.append(part)
-            size += part.get_total_buffer_size()
-            if size >= GROUP_BYTES:
+            size += part.nbytes
+            if size >= enough:
                 yield from flush(group).to_batches()
                 group, size = [], 0
     if group:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import query
-from tessera.llm.common import NO_ID, batch_of, binary_values, bitmap_filter, components, given, id_or_none, none_or_id, saved
+from tessera.llm.common import NO_ID, batch_of, binary_values, bitmap_filter, components, given, id_or_none, none_or_id, parts_of, release_memory, saved
 
 SHINGLE_WORDS = 5
 #: Similarity as a fraction of whole numbers, so that the comparison is exact: 100 * common >= 75 * union.
@@ -140,8 +140,9 @@ def _sequence(words: np.ndarray) -> bytes:
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release_memory()
     counts, seeds = np.zeros(1 << COUNT_BITS, np.int64), _numbers(KEYS, 3)[:, None]
-    for batch in batches:
+    for batch in (part for whole in batches for part in parts_of(whole)):
         rows, cells = [], []
         for doc, words in zip(batch.column(0).to_pylist(), _documents(binary_values(batch.column(1)))):
             grams = _shingles(words)
@@ -219,8 +220,9 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    release_memory()
     last, kept = None, None
-    for batch in batches:
+    for batch in (part for whole in batches for part in parts_of(whole)):
         rows, a, b = [], batch.column(0).to_pylist(), batch.column(2).to_pylist()
         left, right = binary_values(batch.column(1)), binary_values(batch.column(3))
         for i, j, x, y in zip(a, b, left, shingle_sets(right)):
@@ -272,6 +274,7 @@ def _entries(raw: bytes) -> np.ndarray:
 
 def _prefixes(batches: Iterator[pa.RecordBatch], shared, cells: int, noise: float) -> Iterator[pa.RecordBatch]:
     """Rows (cell, chunk pair, entries). A shingle of many documents is cut into chunks by id; each pair of chunks is a cell."""
+    release_memory()
     counts, held, size = None, [], 0
 
     def deal() -> Iterator[pa.RecordBatch]:
@@ -308,7 +311,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], shared, cells: int, noise: floa
                     add(many[same], spread[same].astype(np.int64), 3)
         yield batch_of(_PACKED, rows)
 
-    for batch in batches:
+    for batch in (part for whole in batches for part in parts_of(whole)):
         counts = shared.value if counts is None else counts
         labels = batch.column(2).to_pylist()
         for doc, label, grams in zip(batch.column(0).to_pylist(), labels, shingle_sets(binary_values(batch.column(1)))):
@@ -377,6 +380,7 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if seen:
             yield batch_of(_PAIRS, list(seen))
 
+    release_memory()
     cell, parts = None, []
     for batch in batches:
         for c, s, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), binary_values(batch.column(2))):

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import query
-from tessera.llm.common import given, saved
+from tessera.llm.common import given, release_memory, saved
 
 MAX_GRAM = 5
 #: A word is known in a language if at least ``languages / WORD_SHARE`` of the language's words are it; an n-gram if at least
@@ -273,6 +273,7 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text", keep: list[st
     order = [0 if c == text_col else 1 + others.index(c) for c in kept]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         scorer = Scorer(shared.value)
         for batch in batches:
             said, texts, held = [], [], 0
