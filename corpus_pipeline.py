@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, jaccard, langid, mixing, token_files
-from tessera.llm.common import ascii_lower, given, saved
+from tessera.llm.common import ascii_lower, bound_batches, given, saved
 from tessera.session import ship_package
 
 
@@ -16,6 +16,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The model learns from the labelled documents of ``docs`` that are not held out.
     """
     ship_package(spark)
+    bound_batches(spark)
     known = langid.identify(docs, langid.train_on_documents(docs))
     return known.where((F.col("lang_pred") != "und") | F.col("text").rlike(r"\p{L}")).select(docs.columns)
 
@@ -38,6 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     each of its texts is compared as a document of its own, and a NULL id is above all others.
     """
     ship_package(spark)
+    bound_batches(spark)
     node = "doc_id"
     if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
         node = "_node"
@@ -53,6 +55,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the benchmark doesn't contaminate."""
     ship_package(spark)
+    bound_batches(spark)
     found = decontaminate.contamination(docs, given(spark, sf_dir, "benchmark"))
     return found.where(~decontaminate.contaminated()).select(docs.columns)
 
@@ -60,12 +63,14 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target weight asks for, in mixed order."""
     ship_package(spark)
+    bound_batches(spark)
     return mixing.mix(docs).select(docs.columns)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of all documents; a row for each, read back from the files."""
     ship_package(spark)
+    bound_batches(spark)
     return token_files.tokens_of(spark, docs)
 
 

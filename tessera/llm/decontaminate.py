@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
 from tessera.llm import query
-from tessera.llm.common import batch_of, binary_values, filesystem, given, release_memory
+from tessera.llm.common import LEFT_OVER, batch_of, binary_values, bound_batches, filesystem, given, release_memory
 from tessera.session import work_path
 
 WINDOW = 13
@@ -86,6 +86,7 @@ def _load(folder: str, block: int) -> list[WuManber]:
 
 
 _TABLES: dict[tuple[str, int], list[WuManber]] = {}
+LEFT_OVER[__name__] = _TABLES.clear
 
 
 def _tables(folder: str, block: int) -> list[WuManber]:
@@ -96,10 +97,12 @@ def _tables(folder: str, block: int) -> list[WuManber]:
     return _TABLES[folder, block]
 
 
-def _search(batches: Iterator[pa.RecordBatch], folder: str, blocks: list[int], shape: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _search(batches: Iterator[pa.RecordBatch], folder: str, blocks: list[int], shape: pa.Schema,
+            text_at: int | None = None) -> Iterator[pa.RecordBatch]:
+    """All columns and those of ``shape``; without ``text_at`` the text is a column of its own, the last, and goes."""
     def flush(group: list[pa.RecordBatch]) -> pa.Table:
         table = pa.Table.from_batches(group)
-        texts = table.column(table.num_columns - 1)  # the text comes last
+        texts = table.column(table.num_columns - 1 if text_at is None else text_at)
         n_words, hit = [0] * len(texts), [None] * len(texts)
         items: list[set[str]] = [set() for _ in range(len(texts))]
         for block in blocks or [None]:
@@ -114,12 +117,13 @@ def _search(batches: Iterator[pa.RecordBatch], folder: str, blocks: list[int], s
                             marks = hit[at] = bytearray(len(words))
                         marks[start:start + search.length] = b"\x01" * search.length
                         items[at].update(found)
-        table = table.remove_column(table.num_columns - 1)
+        if text_at is None:
+            table = table.remove_column(table.num_columns - 1)
         for name, values in (("n_words", n_words), ("n_hit", [sum(h or b"") for h in hit]), ("items", [sorted(s) for s in items])):
             table = table.append_column(name, pa.array(values, shape.field(name).type))
         return table
 
-    release_memory()
+    release_memory(__name__)
     enough = GROUP_BYTES if len(blocks) > 1 else 0  # a single table stays open
     group, size = [], 0
     for batch in batches:
@@ -147,6 +151,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
     Own columns of these names in ``docs`` are replaced.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     wins = benchmark.select(F.col(item_text), F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"))
     wins = wins.mapInArrow(lambda b: _windows(b, window), "win binary, item string")
     size = benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
@@ -159,9 +164,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
     added = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string()))])
     kept = docs.drop(*added.names)
     shape = StructType(list(kept.schema)).add("n_words", "long").add("n_hit", "long").add("items", ArrayType(StringType()))
-    name = "_text" + "_" * max(map(len, docs.columns))  # longer than any column's name
-    rows = docs.select(*[F.col(c) for c in kept.columns], F.col(text_col).alias(name))
-    return rows.mapInArrow(lambda b: _search(b, folder, blocks, added), shape)
+    rows, text_at = [F.col(c) for c in kept.columns], None
+    if text_col in kept.columns:  # sent once, as a batch's largest column
+        text_at = kept.columns.index(text_col)
+    else:
+        name = "_text" + "_" * max(map(len, docs.columns))  # longer than any column's name
+        rows.append(F.col(text_col).alias(name))
+    return docs.select(*rows).mapInArrow(lambda b: _search(b, folder, blocks, added, text_at), shape)
 
 
 def contaminated():

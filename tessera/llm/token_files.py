@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import query
-from tessera.llm.common import batch_of, batches_of, filesystem, given, new_file, new_folder, saved
+from tessera.llm.common import LEFT_OVER, batch_of, batches_of, filesystem, given, new_file, new_folder, release_memory, saved
 
 END_ID = 2
 #: A file is closed when it holds so many ids, so a task's memory is bounded whatever its share of the documents.
@@ -169,12 +169,14 @@ def encoder_of(path: str) -> Encoder:
     return Encoder(path)
 
 
+LEFT_OVER[__name__] = encoder_of.cache_clear
 _FILES = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("file", pa.string()), ("ids", pa.int64())])
 
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_id: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
+    release_memory(__name__)
     part, encoder, fs = TaskContext.get().partitionId(), None, filesystem(folder)[0]
     keys, blobs, held, number = [], [], 0, 0
 
