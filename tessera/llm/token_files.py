@@ -21,8 +21,8 @@ from tessera.llm.common import LEFT_OVER, batch_of, batches_of, filesystem, give
 END_ID = 2
 #: A file is closed when it holds so many ids, so a task's memory is bounded whatever its share of the documents.
 FILE_IDS = 1_000_000
-#: Byte strings whose ids a task remembers.
-REMEMBERED = 200_000
+#: Byte strings whose ids a task remembers: some 60 MB, and as much for the generation before.
+REMEMBERED = 400_000
 
 MAGIC = b"TOKF0001"
 
@@ -141,6 +141,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         before = self.tokenizer.pre_tokenizer
         self.by_piece = (isinstance(before, ByteLevel) and before.use_regex and not before.add_prefix_space
                          and self.tokenizer.normalizer is None)
@@ -154,8 +155,12 @@ class Encoder:
         self.known = _Pieces(self.piece)
 
     def piece(self, text: str) -> bytes:
-        found = self.model.tokenize(text.encode().decode("latin-1").translate(self.alphabet))
-        return np.array([t.id for t in found], self.kind).tobytes()
+        if text.isascii() and text[1:].isalpha():  # most pieces are a word, with a blank before it or without
+            spelt = self.alphabet[ord(text[0])] + text[1:]
+        else:
+            spelt = text.encode().decode("latin-1").translate(self.alphabet)
+        found = [t.id for t in self.model.tokenize(spelt)]
+        return struct.pack(f"<{len(found)}{self.code}", *found)
 
     def encode(self, text: str) -> bytes:
         if not self.by_piece or any(a in text for a in self.added) or (not text.isascii() and self.beyond.search(text)):
