@@ -406,17 +406,22 @@ class IvfIndex(StoredIndex):
         return coded(PART, "_asked", "code")
 
     def _code_score(self, meta: IndexMeta) -> Score:
-        """Distances from codes, by one lookup table per query and slice."""
+        """Distances from codes: bounded by products with the decoded rows, settled slice by slice."""
         part_ids, matrix = self.model(meta)
         row_of, books, key = dict(zip(part_ids, range(len(part_ids)))), self.books(meta), meta.key_name
 
         def score(best: TopK, part: int, rows: pa.Table) -> None:
             codes = rows.column("code").combine_chunks().flatten().to_numpy().reshape(-1, len(books))
             keys = rows.column(key).to_numpy()
-            for q in range(len(best.queries)):
-                dist = adc_distance(best.queries[q] - matrix[row_of[part]], codes, books)
-                at = best.near(q, dist, keys)
-                best.offer(np.full(len(at), q), dist[at], keys[at])
+            left = best.queries - matrix[row_of[part]]
+            near, everyone = TopK(left, best.k, "l2"), np.arange(len(left))
+            near.dist, near.key = best.dist, best.key
+            for s in range(0, len(codes), 8192):
+                some = codes[s:s + 8192]
+                decoded = np.concatenate([book[some[:, m]] for m, book in enumerate(books)], axis=1)
+                near.update(everyone, decoded, keys[s:s + 8192],
+                            lambda q, r, decoded=decoded: sliced_distance(left[q], decoded[r], len(books)))
+            best.dist, best.key = near.dist, near.key
 
         return score
 
@@ -515,6 +520,16 @@ def adc_distance(query_residual: np.ndarray, codes: np.ndarray, books: list[np.n
     return total
 
 
+def sliced_distance(query_residuals: np.ndarray, decoded: np.ndarray, slices: int) -> np.ndarray:
+    """:func:`adc_distance` of each query and the decoded row beside it, summed in the same order."""
+    diff = query_residuals - decoded
+    parts = (diff * diff).reshape(len(diff), slices, -1).sum(axis=2)
+    total = np.zeros(len(diff))
+    for m in range(slices):
+        total += parts[:, m]
+    return total
+
+
 def index_coverage(indexed: Column, total: Column) -> Column:
     """Covered share with four decimals; an empty table counts as uncovered."""
     share = F.when(total > 0, indexed / total).otherwise(F.lit(0.0))

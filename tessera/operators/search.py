@@ -19,6 +19,8 @@ DISTANCE = "_distance"
 QUERY_BLOCK_BYTES = 8 << 20
 # Cells of one distance matrix inside a task (doubles).
 MATRIX_CELLS = 2 << 20
+# Squared lengths from which on single precision is not used, and hits per wanted one from which on it tells too little.
+SINGLE_SQUARE, MANY_NEAR = 1e30, 8
 # A hit list of up to this many rows (key and distance) is sent to every task of a join.
 HIT_ROWS = 1 << 20
 
@@ -89,6 +91,8 @@ class TopK:
         self.norms = np.sqrt((queries * queries).sum(axis=1))
         self.dist = np.full((len(queries), k), np.inf)
         self.key: np.ndarray | None = None
+        self._left: np.ndarray | None = None  # the queries' side of the products that bound l2 from below
+        self._cells: np.ndarray | None = None
 
     @property
     def worst(self) -> np.ndarray:
@@ -109,26 +113,91 @@ class TopK:
         inner += r_norms ** 2
         return inner, slack
 
-    def update(self, q_index: np.ndarray, rows: np.ndarray, keys: np.ndarray) -> None:
+    def _bounds_of(self, rows: np.ndarray) -> np.ndarray | None:
+        """The rows' side of products that bound l2 from below in single precision; None if its range is too small for them.
+
+        Around the queries' mean, |q - r|^2 = |q|^2 + |r|^2 - 2qr is one product of vectors that are longer by two. It is wrong
+        by ``error`` (|q|^2 + |r|^2) at most, twice over, so both squares are lessened by that share first.
+        """
+        error = 2.0 ** -22 * (rows.shape[1] + 8)
+        if self._left is None:
+            known = np.isfinite(self.norms)
+            self._centre = self.queries[known].mean(axis=0) if known.any() else np.zeros(rows.shape[1])
+            near = self.queries - self._centre
+            squares = (near * near).sum(axis=1)
+            self._squares, fits = squares, squares < SINGLE_SQUARE
+            self._left = np.zeros((len(near), rows.shape[1] + 2), np.float32)
+            self._left[fits] = np.column_stack([-2.0 * near[fits], np.ones(fits.sum()), (1.0 - error) * squares[fits]])
+            self._single = bool(fits[known].all())
+        near = rows - self._centre
+        squares = (near * near).sum(axis=1)
+        if not self._single or not (squares < SINGLE_SQUARE).all():
+            return None
+        return np.column_stack([near, (1.0 - error) * squares, np.ones(len(rows))]).astype(np.float32)
+
+    def update(self, q_index: np.ndarray, rows: np.ndarray, keys: np.ndarray,
+               exact: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> None:
         """Offer ``rows`` to the queries in ``q_index``, as distance matrices of bounded size.
 
         Rows and queries without a distance (an element that is NaN or infinite; for cosine also a zero vector) are put
-        aside first: one of them must not widen or void the bound that the others are cut by.
+        aside first: one of them must not widen or void the bound that the others are cut by. The distance of a pair that the
+        bound lets pass is :func:`row_distance`, or what ``exact`` has for places of queries and of ``rows``.
         """
         with np.errstate(over="ignore", invalid="ignore"):
             usable, asked = np.isfinite((rows * rows).sum(axis=1)), np.isfinite(self.norms[q_index])
         if self.metric == "cosine":
             usable, asked = usable & rows.any(axis=1), asked & (self.norms[q_index] > 0)
-        rows, keys, q_index = rows[usable], keys[usable], q_index[asked]
-        if not len(q_index):
+        places, q_index = np.flatnonzero(usable), q_index[asked]
+        if not len(q_index) or not len(places):
             return
-        for r in range(0, len(rows), 8192):
-            part, part_keys = rows[r:r + 8192], keys[r:r + 8192]
-            q_step = max(1, MATRIX_CELLS // len(part))
+        ends = [256, 1280, 5376] if self.key is None else [0]  # few rows first, for a bound on the next ones
+        ends += range(ends[-1] + 8192, len(places), 8192)
+        for at in np.split(places, [r for r in ends if 0 < r < len(places)]):
+            part, q_step = rows[at], max(1, MATRIX_CELLS // len(at))
+            with np.errstate(over="ignore", invalid="ignore"):
+                side = self._bounds_of(part) if self.metric == "l2" else None
             for s in range(0, len(q_index), q_step):
-                self._update_block(q_index[s:s + q_step], part, part_keys)
-
-    def _update_block(self, q_index: np.ndarray, rows: np.ndarray, keys: np.ndarray) -> None:
+                self._update_block(q_index[s:s + q_step], part, at, keys, side, exact)
+
+    def _update_block(self, q_index: np.ndarray, rows: np.ndarray, at: np.ndarray, keys: np.ndarray,
+                      side: np.ndarray | None, exact: Callable | None) -> None:
+        pairs = self._near_single(q_index, rows, side) if side is not None else None
+        if pairs is None or len(pairs) > MANY_NEAR * self.k * len(q_index):  # single precision can't tell these apart
+            pairs = self._near_double(q_index, rows)
+        qi, ri = np.divmod(pairs, len(rows))
+        if len(qi):
+            step = max(1, MATRIX_CELLS // rows.shape[1])
+            found = np.concatenate([
+                row_distance(rows[ri[i:i + step]], self.queries[q_index[qi[i:i + step]]], self.metric) if exact is None
+                else exact(q_index[qi[i:i + step]], at[ri[i:i + step]])
+                for i in range(0, len(qi), step)
+            ])
+            self.offer(q_index[qi], found, keys[at[ri]])
+
+    def _near_single(self, q_index: np.ndarray, rows: np.ndarray, side: np.ndarray) -> np.ndarray:
+        """Flat places (query by row) of pairs that may enter the k best; ``side`` is the rows' part of the lower bounds."""
+        if self._cells is None or self._cells.size < len(q_index) * len(rows):
+            self._cells = np.empty(len(q_index) * len(rows), np.float32)
+        least = np.matmul(self._left[q_index], side.T, out=self._cells[:len(q_index) * len(rows)].reshape(len(q_index), -1))
+        slack = 1e-13 * rows.shape[1] * max(float(self.norms[q_index].max() + np.sqrt((rows * rows).sum(axis=1).max())) ** 2, 1.0)
+        bound = self.worst[q_index] + 2 * slack
+        with np.errstate(over="ignore"):
+            near = least <= np.nextafter(bound.astype(np.float32), np.float32(np.inf))[:, None]
+        pairs = np.flatnonzero(near)
+        many = np.flatnonzero(np.bincount(pairs // len(rows), minlength=len(q_index)) > MANY_NEAR * self.k)
+        if len(many):  # the k rows of least bounds are no farther than these and their errors
+            first = np.argpartition(least[many], self.k - 1, axis=1)[:, :self.k]
+            error = 2.0 ** -21 * (rows.shape[1] + 8)
+            near_rows = rows[first] - self._centre
+            own = np.take_along_axis(least[many], first, axis=1) + error * (
+                self._squares[q_index[many], None] + (near_rows * near_rows).sum(axis=2))
+            bound[many] = np.minimum(bound[many], own.max(axis=1) + 2 * slack)
+            near[many] = least[many] <= np.nextafter(bound[many].astype(np.float32), np.float32(np.inf))[:, None]
+            pairs = np.flatnonzero(near)
+        return pairs
+
+    def _near_double(self, q_index: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The same places from distances in double precision."""
         approx, slack = self._approximate(q_index, rows)
         bound = self.worst[q_index]
         near = approx <= (bound + 2 * slack)[:, None]
@@ -138,14 +207,7 @@ class TopK:
             own = np.partition(approx[many], self.k - 1, axis=1)[:, self.k - 1]
             bound[many] = np.minimum(bound[many], own)
             near[many] = approx[many] <= (bound[many] + 2 * slack)[:, None]
-        qi, ri = np.nonzero(near)
-        if len(qi):
-            step = max(1, MATRIX_CELLS // rows.shape[1])
-            exact = np.concatenate([
-                row_distance(rows[ri[i:i + step]], self.queries[q_index[qi[i:i + step]]], self.metric)
-                for i in range(0, len(qi), step)
-            ])
-            self.offer(q_index[qi], exact, keys[ri])
+        return np.flatnonzero(near)
 
     def near(self, q: int, dist: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """Positions of the at most k scored rows that can still enter the k best of query ``q``."""

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,3 +189,26 @@ def test_coverage_has_four_decimals(spark):
     df = spark.createDataFrame([(2, 3), (0, 0)], "a long, b long")
     got = [str(r[0]) for r in df.select(ivf.index_coverage(F.col("a"), F.col("b"))).collect()]
     assert got == ["0.6667", "0.0000"]
+
+
+def test_codes_of_few_pairs_are_summed_up(monkeypatch):
+    """The k best of a cell by codes, as a table of distances per query gives them, without that sum for every pair."""
+    rng = np.random.default_rng(2)
+    books = [rng.normal(size=(16, 4)) for _ in range(4)]
+    matrix, queries, codes = rng.normal(size=(1, 16)), rng.normal(size=(50, 16)), rng.integers(0, 16, (20_000, 4)).astype("int32")
+    codes[:500] = codes[0]
+    keys, summed = rng.permutation(len(codes)), []
+    real = ivf.sliced_distance
+    monkeypatch.setattr(ivf, "sliced_distance", lambda q, r, n: summed.append(len(q)) or real(q, r, n))
+    index = ivf.IvfIndex(None, "unused")
+    monkeypatch.setattr(index, "model", lambda meta: ([0], matrix))
+    monkeypatch.setattr(index, "books", lambda meta: books)
+    meta = ivf.IndexMeta(0, 0, 0, 0, "i", "vec", "id", "IVF_PQ", "l2", 16, "{}", 0)
+    best = se.TopK(queries, 10, "l2")
+    lists = pa.ListArray.from_arrays(np.arange(0, codes.size + 1, 4, dtype="int32"), codes.ravel())
+    index._code_score(meta)(best, 0, pa.table({"id": keys, "code": lists}))
+    for q in range(50):
+        dist = ivf.adc_distance(queries[q] - matrix[0], codes, books)
+        want = np.lexsort((keys, dist))[:10]
+        assert (best.dist[q] == dist[want]).all() and (best.key[q] == keys[want]).all()
+    assert 0 < sum(summed) < 50 * len(codes) / 10

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from tessera.functions.vectors import DimensionMismatch, distance_expr, distance_to, mean_vectors
+from tessera.functions.vectors import DimensionMismatch, distance_expr, distance_to, mean_vectors, row_distance
 from tessera.operators import search as se
 from pyspark.sql import functions as F
 
@@ -144,3 +144,25 @@ def test_vectors_without_a_distance_do_not_hide_others(metric):
     keep = np.delete(np.arange(9000), [7, 8, 9] if metric == "cosine" else [7, 8])
     clean.update(np.arange(3), rows[keep], keep)
     assert all((a == b).all() for a, b in zip(best.results(), clean.results())) and len(best.results()[0]) == 30
+
+
+@pytest.mark.parametrize("case", ["plain", "far off", "in close groups", "copies", "huge", "tiny", "one huge"])
+def test_bounds_in_single_precision_lose_no_neighbour(case):
+    """Against all distances in double precision, also where single precision can't tell the rows apart."""
+    rng = np.random.default_rng(6)
+    rows = rng.normal(size=(11_000, 12))
+    if case == "in close groups":
+        rows = rows[rng.integers(0, 40, len(rows))] + 1e-6 * rng.normal(size=rows.shape)
+    if case == "copies":
+        rows[:4000] = rows[0]
+    rows = {"far off": rows + 1e6, "huge": rows * 1e20, "tiny": rows * 1e-25}.get(case, rows)
+    if case == "one huge":
+        rows[5] = 1e13
+    queries, keys = rows[rng.permutation(len(rows))[:60]], rng.permutation(len(rows))
+    best = se.TopK(queries, 10, "l2")
+    for part in (slice(0, 40), slice(40, 40), slice(40, None)):
+        best.update(np.arange(60), rows[part], keys[part])
+    for q in range(60):
+        dist = row_distance(rows, queries[q], "l2")
+        want = np.lexsort((keys, dist))[:10]
+        assert (best.dist[q] == dist[want]).all() and (best.key[q] == keys[want]).all()
